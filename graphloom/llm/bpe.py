@@ -14,12 +14,14 @@ columns may have any name.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from collections.abc import Iterable
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +36,9 @@ MEMORY = 500_000
 #: New words inserted in one trie.
 TRIE_WORDS = 20_000
 
+#: Fixed value: the splitting pattern of this family of vocabularies.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: A space within a longer run of white space; such runs are not cut.
 _RUN = re.compile(r"\s \s|  ")
 _LONE_SPACE = re.compile(r"(?<=\S)(?= \S)")
@@ -76,6 +81,10 @@ class TrieEncoder:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        #: First characters of special tokens; a text without them has none.
+        self.marks = {t[0] for t in self.special}
+        self.pattern = regex.compile(PATTERN)
+        self.spelling = dict(enumerate(byte_alphabet()))
         self.words_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
         self.pair_holds: dict[tuple[int, int], bool] = {}
         self.right_edge = [self._spine(i, self.right) for i in range(size)]
@@ -84,14 +93,8 @@ class TrieEncoder:
         for i in sorted(self.vocabulary.values(), key=self.rank.__getitem__):
             a, b = self.left[i], self.right[i]
             whole[i] = self.rank[i] < 0 or (whole[a] and whole[b] and not self._seam_merges(a, b, (a, b)))
-        #: The tokens whose own text is encoded as just them, spelled backwards: those that end somewhere are one walk.
-        self.backwards: dict = {}
-        for token, i in self.vocabulary.items():
-            if whole[i]:
-                node = self.backwards
-                for c in reversed(token):
-                    node = node.setdefault(c, {})
-                node[""] = i
+        self._automaton({token: i for token, i in self.vocabulary.items() if whole[i]})
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.words: dict[str, bytes] = {}
         #: Encodings of text pieces: those that begin a text, and those that follow a space (kept without it).
         self.firsts: dict[str, bytes] = {}
@@ -118,59 +121,95 @@ class TrieEncoder:
     def may_follow(self, a: int, b: int) -> bool:
         held = self.pair_holds.get((a, b))
         if held is None:
-            if len(self.pair_holds) > 500_000:
+            if len(self.pair_holds) > 1_000_000:
                 self.pair_holds.clear()
             held = self.pair_holds[a, b] = not self._seam_merges(a, b)
         return held
 
-    def _last_token(self, path: str | list[str], depth: int, last: list[int], size: list[int]) -> None:
-        """Sets the last token, and its length, of the prefix of ``path`` that has ``depth`` characters."""
-        node, at, ends = self.backwards, depth, []
-        while at > 0 and (node := node.get(path[at - 1])) is not None:
-            at -= 1
-            if "" in node:
-                ends.append((at, node[""]))
-        for at, token in reversed(ends):
-            if at == 0 or self.may_follow(last[at], token):
-                last[depth], size[depth] = token, depth - at
-                return
-        raise ValueError("the vocabulary lacks a base symbol")
-
-    @staticmethod
-    def _read_off(depth: int, last: list[int], size: list[int]) -> bytes:
-        ids = []
-        while depth:
-            ids.append(last[depth])
-            depth -= size[depth]
-        return b"".join([i.to_bytes(4, "little") for i in reversed(ids)])
+    def _automaton(self, tokens: dict[str, int]) -> None:
+        """Suffix automaton of the vocabulary: a state knows all tokens, longest first, that end where it stands."""
+        self.steps: list[dict[str, int]] = [{}]
+        self.shorter, own = [0], [-1]
+        for token, i in tokens.items():
+            state = 0
+            for c in token:
+                after = self.steps[state].get(c)
+                if after is None:
+                    after = self.steps[state][c] = len(self.steps)
+                    self.steps.append({})
+                    self.shorter.append(0)
+                    own.append(-1)
+                state = after
+            own[state] = i
+        self.ending: list[tuple] = [()] * len(own)
+        level = [(0, 0)]
+        while level:
+            deeper = []
+            for state, depth in level:
+                mine = ((depth, own[state]),) if own[state] >= 0 else ()
+                self.ending[state] = mine + (self.ending[self.shorter[state]] if state else ())
+                for c, after in self.steps[state].items():
+                    self.shorter[after] = self._step(self.shorter[state], c) if state else 0
+                    deeper.append((after, depth + 1))
+            level = deeper
+
+    def _step(self, state: int, c: str) -> int:
+        steps = self.steps
+        while (after := steps[state].get(c)) is None and state:
+            state = self.shorter[state]
+        return after or 0
 
     def _walk(self, words: list[str]) -> None:
-        """Inserts distinct words in a trie and encodes them all in one depth-first traversal."""
+        """Inserts distinct words in a trie; one depth-first traversal encodes every node's path once."""
         root: dict = {}
-        deepest = 0
         for word in words:
             if len(word) > LONG_WORD:
-                last, size = [0] * (len(word) + 1), [0] * (len(word) + 1)
-                for depth in range(1, len(word) + 1):
-                    self._last_token(word, depth, last, size)
-                self.words[word] = self._read_off(len(word), last, size)
+                self.words[word] = self._along(word)
                 continue
             node = root
             for c in word:
-                node = node.setdefault(c, {})
+                after = node.get(c)
+                if after is None:
+                    after = node[c] = {}
+                node = after
             node[""] = word
-            deepest = max(deepest, len(word))
-        path, last, size = [""] * deepest, [0] * (deepest + 1), [0] * (deepest + 1)
-        stack = [(1, c, node) for c, node in root.items()]
+        ending, packed, step, holds, out = self.ending, self.packed, self._step, self.pair_holds, self.words
+        last, made = [0] * (LONG_WORD + 1), [b""] * (LONG_WORD + 1)
+        stack = [(1, step(0, c), node) for c, node in root.items()]
         while stack:
-            depth, c, node = stack.pop()
-            path[depth - 1] = c
-            self._last_token(path, depth, last, size)
-            for follows, child in node.items():
-                if follows:
-                    stack.append((depth + 1, follows, child))
+            depth, state, node = stack.pop()
+            for size, token in ending[state]:
+                at = depth - size
+                if at:
+                    before = last[at]
+                    held = holds.get((before, token))
+                    if held is None:
+                        held = self.may_follow(before, token)
+                    if not held:
+                        continue
+                last[depth] = token
+                made[depth] = made[at] + packed[token]
+                break
+            for c, child in node.items():
+                if c:
+                    stack.append((depth + 1, step(state, c), child))
                 else:
-                    self.words[child] = self._read_off(depth, last, size)
+                    out[child] = made[depth]
+
+    def _along(self, word: str) -> bytes:
+        """One long word: its prefixes' last tokens, then the way back."""
+        last, size, state = [0] * (len(word) + 1), [0] * (len(word) + 1), 0
+        for depth, c in enumerate(word, 1):
+            state = self._step(state, c)
+            for n, token in self.ending[state]:
+                if n == depth or self.may_follow(last[depth - n], token):
+                    last[depth], size[depth] = token, n
+                    break
+        ids, depth = [], len(word)
+        while depth:
+            ids.append(self.packed[last[depth]])
+            depth -= size[depth]
+        return b"".join(reversed(ids))
 
     def _split(self, text: str) -> tuple[str, list[str]]:
         """Pieces whose encodings, put together, are that of ``text``: cut before spaces that stand alone."""
@@ -182,25 +221,42 @@ class TrieEncoder:
         first, *rest = text.split(" ")
         return first, rest
 
+    def _words(self, text: str) -> list[str]:
+        """The splitter's words, in the byte alphabet."""
+        if max(text) < "\u0250":  # Latin letters, whose classes all pattern engines agree on
+            return [w.encode().decode("latin-1").translate(self.spelling) for w in self.pattern.findall(text)]
+        return [word for word, _ in self.words_of(text)]
+
     def _learn(self, pieces: Iterable[str], space: str, known: dict[str, bytes]) -> None:
-        parts: dict[str, list] = {}
+        parts: list[tuple[str, list]] = []
         new: dict[str, None] = {}
         words = self.words
         for piece in pieces:
-            out = parts[piece] = []
-            for text in self.at_special.split(space + piece) if self.at_special else [space + piece]:
-                if text in self.special:
-                    out.append(self.special[text].to_bytes(4, "little"))
-                elif text:
-                    for word, _ in self.words_of(text):
-                        out.append(word)
-                        if word not in words:
-                            new[word] = None
+            text = space + piece
+            if not text:
+                known[piece] = b""
+                continue
+            if self.marks.isdisjoint(text):
+                out = self._words(text)
+            else:
+                out = []
+                for part in self.at_special.split(text):
+                    if part in self.special:
+                        words[part] = self.packed[self.special[part]]
+                        out.append(part)
+                    elif part:
+                        out += self._words(part)
+            parts.append((piece, out))
+            for word in out:
+                if word not in words:
+                    new[word] = None
         fresh = list(new)
         for k in range(0, len(fresh), TRIE_WORDS):
             self._walk(fresh[k : k + TRIE_WORDS])
-        for piece, out in parts.items():
-            known[piece] = b"".join([x if isinstance(x, bytes) else words[x] for x in out])
+        for piece, out in parts:
+            known[piece] = words[out[0]] if len(out) == 1 else b"".join([words[x] for x in out])
+        for token in self.special:
+            words.pop(token, None)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -208,8 +264,12 @@ class TrieEncoder:
             if len(memory) > MEMORY:
                 memory.clear()
         split = [self._split(t) for t in texts]
+        collecting = gc.isenabled()
+        gc.disable()  # tries hold no cycles, and there are many new objects
         self._learn({first for first, _ in split} - self.firsts.keys(), "", self.firsts)
         self._learn(set().union(*[rest for _, rest in split]) - self.spaced.keys(), " ", self.spaced)
+        if collecting:
+            gc.enable()
         firsts, spaced = self.firsts, self.spaced.__getitem__
         return [firsts[first] + b"".join(map(spaced, rest)) for first, rest in split]
 

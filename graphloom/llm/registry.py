@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, quality
+import corpus_pipeline
+from graphloom.llm import binary, bpe, minhash, packing, paragraphs, quality, substrings
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_suffix_dedup": substrings.query,
     "op4_quality": quality.query,
+    "op6_minhash": minhash.query,
+    "op8_paragraphs": paragraphs.query,
+    "op9_packing": packing.query,
+    "op10_matrices": binary.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -13,10 +13,6 @@ import xxhash
 
 WORDS = 5
 _U64 = np.uint64
-#: Odd multipliers of the words of a shingle, from a fixed linear rule.
-_MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64) | 1 for j in range(64)], _U64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply)."""
     x = (x ^ (x >> _U64(30))) * _U64(0xBF58476D1CE4E5B9)
@@ -24,6 +20,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
+#: Odd multipliers of the words of a shingle.
+_MULTIPLIERS = mix(np.arange(1, 65, dtype=_U64)) | _U64(1)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered; emptied when large, so memory is bounded."""
 

@@ -53,9 +53,9 @@ class Hasher:
 
     def _grow(self, size: int) -> None:
         if size > self.size:
-            inverse = pow(_STEP, -1, 1 << 64)
-            self.powers = np.cumprod(np.concatenate([[1], np.full(size, _STEP, _U64)]).astype(_U64))
-            self.inverses = np.cumprod(np.concatenate([[1], np.full(size, inverse, _U64)]).astype(_U64))
+            self.powers, self.inverses = np.full(size + 1, _STEP, _U64), np.full(size + 1, pow(_STEP, -1, 1 << 64), _U64)
+            self.powers[0] = self.inverses[0] = 1
+            self.powers, self.inverses = np.cumprod(self.powers), np.cumprod(self.inverses)
             self.size = size
 
     def sums(self, data: np.ndarray) -> np.ndarray:
@@ -71,7 +71,7 @@ class Hasher:
 def sliding_least(values: np.ndarray, w: int) -> np.ndarray:
     """The least of each ``w`` successive values."""
     n = len(values)
-    padded = np.full(-(-n // w) * w, np.iinfo(_U64).max, _U64)
+    padded = np.full(-(-n // w) * w, _U64(np.iinfo(_U64).max), _U64)
     padded[:n] = values
     blocks = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from graphloom.llm import binary, bpe, minhash, packing, paragraphs, quality, substrings
+from graphloom.llm import binary, bpe, media, minhash, packing, paragraphs, quality, substrings, urls, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_suffix_dedup": substrings.query,
+    "op3_warc": warc.query,
     "op4_quality": quality.query,
+    "op5_urls": urls.query,
     "op6_minhash": minhash.query,
+    "op7_media": media.query,
     "op8_paragraphs": paragraphs.query,
     "op9_packing": packing.query,
     "op10_matrices": binary.query,
@@ -17,5 +20,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_warc": warc.ORACLE,
     "op4_quality": quality.ORACLE,
 }

@@ -1,14 +1,15 @@
-"""The reference-side queries by name, and their DuckDB versions."""
+"""All queries over graph, text and files by name, and their DuckDB versions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from graphloom.plans import graph_queries, text_queries, upkeep_queries  # noqa: F401  they register themselves
+from graphloom.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """What a change of two nations reaches."""
+    return QUERIES["impact_upstream"](spark, sf_dir)

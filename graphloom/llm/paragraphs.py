@@ -1,7 +1,7 @@
 """Substring dedup by paragraph MinHash banding, with exact verification and clustered removal.
 
-Two kinds of paragraph are compared. Lines of ``MIN_WORDS`` words or more are sketched and banded (24 bands of 4
-coordinates: a pair at the threshold 0.8 is missed with a probability of 3e-6), colliding lines are verified by
+Two kinds of paragraph are compared. Lines of ``MIN_WORDS`` words or more are sketched and banded (16 bands of 4
+coordinates: a pair at the threshold 0.8 is missed with a probability of 2e-4), colliding lines are verified by
 the exact Jaccard similarity of their five-word shingles, and linked lines form components. So that a passage is
 found wherever it stands within lines, runs of ``SPAN`` words at content-chosen places (the least hash of ``CHOICE``
 neighbouring runs) are paragraphs too; any passage of ``SPAN + CHOICE - 1`` = 50 words that two places share has
@@ -28,8 +28,8 @@ from graphloom.llm import sketch as S
 from graphloom.llm.common import arrow_schema, map_batches, short_batches, written
 from graphloom.llm.neardup import near_duplicate_groups, with_ids
 
-PERCENT, BANDS, ROWS = 80, 24, 4
-MIN_WORDS, SPAN, CHOICE = 20, 24, 27
+PERCENT, BANDS, ROWS = 80, 16, 4
+MIN_WORDS, SPAN, CHOICE = 40, 20, 31
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from graphloom.llm.common import arrow_schema, map_batches, short_batches, written
 from graphloom.llm.sketch import mix
 
-LENGTH, K = 200, 64
+LENGTH, K = 200, 32
 #: Different surroundings of one minimizer that a task may sort.
 HOT = 50_000
 #: Bytes hashed at a time.

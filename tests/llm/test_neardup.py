@@ -132,7 +132,7 @@ def test_passages_are_found_within_lines(table):
         for s in reversed(r._spans):
             data = data[: s.start] + data[s.end :]
         assert data.decode() == (r.text or "")
-    assert sum(s.end - s.start for s in got[101]._spans) >= 24 * 6 and got[202].text == ""
+    assert sum(s.end - s.start for s in got[101]._spans) >= 20 * 6 and got[202].text == ""
 
 
 def test_paragraphs_of_odd_texts(table, odd_texts):
@@ -142,8 +142,8 @@ def test_paragraphs_of_odd_texts(table, odd_texts):
 
 
 def test_line_groups_by_brute_force(table, small_texts):
-    """Exactly the lines of 20 words and more that are linked with an earlier one go (runs aside)."""
-    lines = [(k, p, line) for k, t in small_texts for p, line in enumerate((t or "").split("\n")) if len(line.split()) >= 20]
+    """Exactly the lines of MIN_WORDS words and more that are linked with an earlier one go (runs aside)."""
+    lines = [(k, p, line) for k, t in small_texts for p, line in enumerate((t or "").split("\n")) if len(line.split()) >= paragraphs.MIN_WORDS]
     sets = [_set(x) for *_, x in lines]
     index = defaultdict(list)
     for i, s in enumerate(sets):

@@ -148,7 +148,7 @@ def fetch_reason(reason: Column) -> tuple[Column, Column]:
     """(accessed keys, fetch count) of a reason like ``keys:a,b|fetches:2``."""
     parts = F.split(reason, r"\|")
     last = lambda mark: F.try_element_at(F.filter(parts, lambda p: p.startswith(mark)), F.lit(-1))
-    keys = F.filter(F.transform(F.split(F.substring(last("keys:"), 6, 1_000_000), ","), F.trim), lambda k: k != "")
+    keys = F.filter(F.transform(F.split(F.substring(last("keys:"), 6, 1_000_000), ","), lambda k: F.trim(k)), lambda k: k != "")
     count = F.try_to_number(F.regexp_extract(F.coalesce(last("fetches:"), F.lit("")), r"^fetches:(\d+)$", 1), F.lit("9999999999")).cast("int")
     return F.coalesce(keys, F.array().cast("array<string>")), count
 

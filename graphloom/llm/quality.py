@@ -136,8 +136,10 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tup
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows, with all their columns, that neither the base rule nor the cascade rejects."""
     order = by_rejection_per_cost(measure(docs, rules, text))
-    out = with_features(docs, text).where(~base_failed())
-    return out.where(cascade(order).isNull()).select("row.*")
+    verdict = (~base_failed() & cascade(order).isNull()).alias("_good")
+    # a filter on a row number is not pushed into the projections below, where each use of a feature would repeat it
+    out = with_features(docs, text).select("row", verdict, F.monotonically_increasing_id().alias("_at"))
+    return out.where("_good AND _at >= 0").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -38,12 +38,10 @@ def fingerprints(rows: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def make():
-        known = S.WordHashes()
-
         def each(batch: pa.RecordBatch):
             out: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
-                found = S.shingle_set(known.of(words_of(text)))
+                found = S.shingle_set(S.word_hashes(words_of(text)))
                 hi, lo = S.identity(found) if len(found) else (None, None)
                 banded = S.bands(S.sketch(found, n_bands * n_rows), n_rows) if len(found) else None
                 for column, value in zip(out, (len(found), hi, lo, banded), strict=True):
@@ -61,12 +59,10 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def make():
-        known = S.WordHashes()
-
         def each(batch: pa.RecordBatch):
             ids, sets = [], []
             for id_, hi, lo, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                found = S.shingle_set(known.of(words_of(text)))
+                found = S.shingle_set(S.word_hashes(words_of(text)))
                 if S.identity(found) == (hi, lo):
                     ids.append(id_)
                     sets.append(found.view("int64"))
@@ -106,3 +102,24 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB's version of :func:`query`: all pairs that share a shingle, and reachability.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+e AS (SELECT rid, doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.rid < b.rid
+  GROUP BY a.rid, b.rid, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM p UNION SELECT b, a FROM p) l ON l.a = r.b)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id, m.c = s.doc_id AS kept
+FROM s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = s.doc_id
+"""

@@ -22,4 +22,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_warc": warc.ORACLE,
     "op4_quality": quality.ORACLE,
+    "op6_minhash": minhash.ORACLE,
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -68,6 +71,14 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory back at a task's end: idle Python workers live on while the JVM needs the room."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: T.StructType
 ) -> DataFrame:
@@ -78,5 +89,7 @@ def map_batches(
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        del each
+        release_memory()
 
     return df.mapInArrow(run, schema)

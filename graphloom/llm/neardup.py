@@ -102,5 +102,7 @@ def near_duplicate_groups(items: DataFrame, sets_of: Callable[[DataFrame], DataF
             old = groups.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
             fresh = merged.join(groups.select("id"), "id", "left_anti")
             groups = written(old.union(fresh), "groups")
+        # buckets whose members are together, or have all led, need no more rounds
+        rest = named.where(f"m - 1 > {leaders}").drop("c")
         taken, leaders = leaders, leaders * FACTOR
     return groups

@@ -56,14 +56,14 @@ def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFr
     arrow = arrow_schema(schema)
 
     def make():
-        known, seen = S.WordHashes(), {}
+        seen: dict = {}
 
         def each(batch: pa.RecordBatch):
             out: list[list] = [[] for _ in range(6)]
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for part, words in enumerate(line_words(text)):
                     if len(words) >= min_words:
-                        found = S.shingle_set(known.of(words))
+                        found = S.shingle_set(S.word_hashes(words))
                         hi, lo = S.identity(found)
                         banded = seen.get((hi, lo))
                         if banded is None:
@@ -85,15 +85,13 @@ def _line_sets(rows: DataFrame) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def make():
-        known = S.WordHashes()
-
         def each(batch: pa.RecordBatch):
             ids, sets = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = line_words(text)
                 for one in wanted:
                     if one["part"] < len(lines):
-                        found = S.shingle_set(known.of(lines[one["part"]]))
+                        found = S.shingle_set(S.word_hashes(lines[one["part"]]))
                         if S.identity(found) == (one["hi"], one["lo"]):
                             ids.append(one["id"])
                             sets.append(found.view("int64"))
@@ -110,12 +108,10 @@ def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
     arrow = arrow_schema(schema)
 
     def make():
-        known = S.WordHashes()
-
         def each(batch: pa.RecordBatch):
             row, places, hashes = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                at, h = chosen_runs(known.of(text.encode().lower().split()), span, choice)
+                at, h = chosen_runs(S.word_hashes(text.encode().lower().split()), span, choice)
                 row.append(np.full(len(at), i))
                 places.append(at)
                 hashes.append(h)

@@ -24,17 +24,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=_U64)) | _U64(1)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; emptied when large, so memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), _U64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; hashing is as fast as remembering, and needs no memory."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), _U64, len(words))
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

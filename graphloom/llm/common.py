@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 #: Rows that the JVM puts in one Arrow batch; whole texts are long, so batches are kept short.
 BATCH_ROWS = 512
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
@@ -32,8 +36,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it (executors elsewhere need it installed)."""
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds a Python worker's memory: an Arrow batch holds at most ``rows`` texts."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -92,4 +105,5 @@ def map_batches(
         del each
         release_memory()
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

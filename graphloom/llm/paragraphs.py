@@ -5,8 +5,10 @@ coordinates: a pair at the threshold 0.8 is missed with a probability of 2e-4),
 the exact Jaccard similarity of their five-word shingles, and linked lines form components. So that a passage is
 found wherever it stands within lines, runs of ``SPAN`` words at content-chosen places (the least hash of ``CHOICE``
 neighbouring runs) are paragraphs too; any passage of ``SPAN + CHOICE - 1`` = 50 words that two places share has
-at least one chosen run in common, with equal shingle sets. Of each component the paragraph with the smallest key,
-there the first one, stays; the others are cut out.
+at least one chosen run in common, with equal shingle sets. Runs are seeds: each is extended to both sides, over
+the words between runs and up to ``CHOICE`` words beyond the outermost, as far as an earlier place agrees, so a
+shared passage is cut whole. Of each component the paragraph with the smallest key, there the first one, stays;
+the others are cut out.
 
 Input contract: null and empty texts have no paragraphs; texts of any length are read whole; ties go to the
 smallest key and place; rows that repeat a key and text are one document and come out alike; rows without a key
@@ -102,29 +104,150 @@ def _line_sets(rows: DataFrame) -> DataFrame:
     return map_batches(rows, make, schema)
 
 
+def _prefixes(hashes: np.ndarray) -> np.ndarray:
+    """Sums from which :func:`_fragments` gets the hash of any stretch of words."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(len(hashes))[0][: len(hashes)])])
+
+
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64; ``n`` of them at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n + 4096, x, np.uint64)])) for x in (base, pow(base, -1, 2**64))]
+    return _POWERS
+
+
+def _fragments(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``start`` up to ``end``, wherever they stand."""
+    return S.mix((sums[end] - sums[start]) * _powers(len(sums))[1][start] + (end - start).astype(np.uint64))
+
+
 def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
-    """(k, t) to (k, place, h): the content-chosen runs of each text."""
-    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), T.StructField("place", T.IntegerType()), T.StructField("h", T.LongType())])
+    """(k, t) to (k, place, h, s, r, a, b): the content-chosen runs of each text.
+
+    ``s`` names the words from ``a``, where the run before starts (or the text), to the run's end, ``r`` those from
+    the run's start to ``b``, where the run after ends (or the text).
+    """
+    kinds = [("place", T.IntegerType()), ("h", T.LongType()), ("s", T.LongType()), ("r", T.LongType()), ("a", T.IntegerType()), ("b", T.IntegerType())]
+    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), *[T.StructField(*x) for x in kinds]])
     arrow = arrow_schema(schema)
 
     def make():
         def each(batch: pa.RecordBatch):
-            row, places, hashes = [], [], []
+            row: list[np.ndarray] = []
+            out: list[list[np.ndarray]] = [[] for _ in kinds]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                at, h = chosen_runs(S.word_hashes(text.encode().lower().split()), span, choice)
-                row.append(np.full(len(at), i))
-                places.append(at)
-                hashes.append(h)
-            keys = batch.column(0).take(pa.array(np.concatenate(row)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(hashes).view(np.int64))], schema=arrow)
+                hashes = S.word_hashes(text.encode().lower().split())
+                at, h = chosen_runs(hashes, span, choice)
+                if len(at):
+                    sums = _prefixes(hashes)
+                    a, b = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:] + span, [len(hashes)]])
+                    row.append(np.full(len(at), i))
+                    for column, value in zip(out, (at, h, _fragments(sums, a, at + span), _fragments(sums, at, b), a, b), strict=True):
+                        column.append(value)
+            if row:
+                keys = batch.column(0).take(pa.array(np.concatenate(row)))
+                columns = [np.concatenate(x) for x in out]
+                yield pa.RecordBatch.from_arrays([keys] + [pa.array(x.view(np.int64), f.type) for x, f in zip(columns, list(arrow)[1:], strict=True)], schema=arrow)
+
+        return each
+
+    return map_batches(rows, make, schema)
+
+
+def _contexts(rows: DataFrame, span: int, reach: int) -> DataFrame:
+    """(k, t, wanted: array of (place, h, l, r)) to (k, place, h, side, next, c): hashes ``c`` of the 1, 2, ... ``reach`` words
+    before (side 0) or after (side 1) the run; ``next`` is the first of them."""
+    kinds = [("place", T.IntegerType()), ("h", T.LongType()), ("side", T.IntegerType()), ("next", T.LongType()), ("c", T.ArrayType(T.LongType(), False))]
+    schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), *[T.StructField(*x) for x in kinds]])
+    arrow = arrow_schema(schema)
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            row: list[int] = []
+            out: list[list] = [[] for _ in kinds]
+            for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                hashes = S.word_hashes(text.encode().lower().split())
+                sums, n = _prefixes(hashes), len(hashes)
+                for one in wanted:
+                    p, q = one["place"], one["place"] + span
+                    if q > n or S.windows(hashes[p:q], span).view(np.int64)[0] != one["h"]:
+                        continue
+                    for side, asked in enumerate((one["l"], one["r"])):
+                        far = np.arange(1, min(reach, n - q if side else p) + 1)
+                        if asked and len(far):
+                            c = (_fragments(sums, np.full(len(far), q), q + far) if side else _fragments(sums, p - far, np.full(len(far), p))).view(np.int64)
+                            row.append(i)
+                            for column, value in zip(out, (p, one["h"], side, c[0], c), strict=True):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64()))] + [pa.array(x, f.type) for x, f in zip(out, list(arrow)[1:], strict=True)], schema=arrow)
 
         return each
 
     return map_batches(rows, make, schema)
 
 
-def _cuts(text: str, parts: list[dict], runs: list[dict], me, span: int) -> list[tuple[int, int]]:
-    """Byte ranges to remove, merged: linked lines and runs of which another place stays."""
+def _extents(contexts: DataFrame, span: int) -> DataFrame:
+    """(k, place, side, n): by how many words a run and an earlier place of it agree further; in one text the two
+    places don't overlap. Contexts come together by run, side and first word, in the order of places."""
+    schema = T.StructType([contexts.schema["k"], *[T.StructField(x, T.IntegerType()) for x in ("place", "side", "n")]])
+    arrow = arrow_schema(schema)
+
+    def make():
+        group, seen = None, {}
+
+        def each(batch: pa.RecordBatch):
+            nonlocal group
+            out: list[list] = [[] for _ in arrow]
+            for k, place, h, side, first, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if group != (h, side, first):
+                    group = (h, side, first)
+                    seen.clear()
+                low, high = 0, len(c)
+                while low < high:
+                    n = (low + high + 1) // 2
+                    k0, p0 = seen.get(c[n - 1], (None, 0))
+                    if k0 is not None and (k0 != k or (p0 + span + n <= place if side else p0 + span <= place - n)):
+                        low = n
+                    else:
+                        high = n - 1
+                for x in c:
+                    seen.setdefault(x, (k, place))
+                if low:
+                    for column, value in zip(out, (k, place, side, low), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+
+        return each
+
+    by = ("h", "side", "next")
+    return map_batches(contexts.repartition(*by).sortWithinPartitions(*by, "k", "place"), make, schema)
+
+
+def _passages(rows: DataFrame, span: int, choice: int) -> DataFrame:
+    """(k, runs: array of (lo, hi)): the words that a chosen run of an earlier place and what agrees around it repeat."""
+    runs, me = written(_runs(rows, span, choice), "runs"), F.struct("k", "place")
+    again = runs.groupBy("h").agg(F.count("*").alias("c"), F.min(me).alias("first")).where("c > 1").drop("c")
+    again = written(runs.join(again, "h").withColumn("later", F.col("first") < me).drop("first"), "again")
+    at = {x: again.groupBy(x).agg(F.count("*").alias("c"), F.min(me).alias(f"{x}_at")).where("c > 1").drop("c") for x in ("s", "r")}
+    marked = again.where("later").join(at["s"], "s", "left").join(at["r"], "r", "left")
+    left = (F.col("s_at") < me) & F.expr(f"s_at.k <> k OR s_at.place + {span} <= a")
+    right = (F.col("r_at") < me) & F.expr("r_at.k <> k OR r_at.place + b - place <= place")
+    marked = written(marked.select("k", "place", "h", "a", "b", F.coalesce(left, F.lit(False)).alias("l"), F.coalesce(right, F.lit(False)).alias("r")), "marked")
+    edges = marked.where("NOT (l AND r)").groupBy("h").agg(F.max(~F.col("l")).alias("l"), F.max(~F.col("r")).alias("r"))
+    wanted = again.select("k", "place", "h").join(edges, "h").groupBy("k").agg(F.collect_set(F.struct("place", "h", "l", "r")).alias("wanted"))
+    wanted = written(wanted, "wanted")
+    further = _extents(_contexts(with_ids(rows, wanted, "k").select("k", "t", "wanted"), span, choice), span)
+    cut = marked.selectExpr("k", "IF(l, a, place) AS lo", f"IF(r, b, place + {span}) AS hi")
+    more = further.selectExpr("k", f"IF(side = 0, place - n, place + {span}) AS lo", f"IF(side = 0, place, place + {span} + n) AS hi")
+    return cut.union(more).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+
+
+def _cuts(text: str, parts: list[dict], runs: list[dict], me) -> list[tuple[int, int]]:
+    """Byte ranges to remove, merged: linked lines of which another stays, and words that an earlier place has."""
     data = text.encode()
     spans: list[tuple[int, int]] = []
     if parts:
@@ -138,11 +261,7 @@ def _cuts(text: str, parts: list[dict], runs: list[dict], me, span: int) -> list
             met.add(one["component"])
     if runs:
         words = [m.span() for m in _WORD.finditer(data)]
-        met = set()
-        for one in sorted(runs, key=lambda x: x["place"]):
-            if one["place"] + span <= len(words) and (one["first"] != me or one["h"] in met):
-                spans.append((words[one["place"]][0], words[one["place"] + span - 1][1]))
-            met.add(one["h"])
+        spans += [(words[one["lo"]][0], words[one["hi"] - 1][1]) for one in runs if one["hi"] <= len(words)]
     merged: list[tuple[int, int]] = []
     for start, end in sorted(spans):
         if merged and start <= merged[-1][1] + 1 and data[merged[-1][1] : start].isspace() or merged and start <= merged[-1][1]:
@@ -155,8 +274,8 @@ def _cuts(text: str, parts: list[dict], runs: list[dict], me, span: int) -> list
 def repeated_paragraphs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n_bands: int = BANDS, n_rows: int = ROWS, min_words: int = MIN_WORDS, span: int = SPAN, choice: int = CHOICE
 ) -> DataFrame:
-    """(key, parts, runs): for each document with linked paragraphs its lines (part, component, first) and its
-    chosen runs (place, h, first); ``first`` is the smallest key of the paragraph's component."""
+    """(key, parts, runs): for each document with linked paragraphs its lines (part, component, first), where
+    ``first`` is the smallest key of the line's component, and runs (lo, hi), the words that an earlier place has."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
 
@@ -176,15 +295,12 @@ def repeated_paragraphs(
     named = named.join(first, "component").select("hi", "lo", "component", "first")
     parts = lines.select("k", "part", "hi", "lo").join(named, ["hi", "lo"]).groupBy("k").agg(F.collect_set(F.struct("part", "component", "first")).alias("parts"))
 
-    runs = written(_runs(rows, span, choice), "runs")
-    again = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("k").alias("first")).where("c > 1").drop("c")
-    runs = runs.join(again, "h").groupBy("k").agg(F.collect_set(F.struct("place", "h", "first")).alias("runs"))
-    return parts.join(runs, "k", "full").withColumnRenamed("k", key)
+    return parts.join(_passages(rows, span, choice), "k", "full").withColumnRenamed("k", key)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, **options) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns, with repeated paragraphs cut out of the text; adds ``_spans`` (bytes removed: start, end)."""
-    found = repeated_paragraphs(docs, key, text, span=span, **options).withColumnRenamed(key, "_k")
+    found = repeated_paragraphs(docs, key, text, **options).withColumnRenamed(key, "_k")
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, F.col("row")[key] == F.col("_k"), "left")
     listed = joined.select("row", F.col("row")[text].alias("_t"), F.col("row")[key].alias("_k"), "parts", "runs")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -197,7 +313,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
             parts, runs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             out, cut = [], []
             for t, k, p, r in zip(texts, keys, parts, runs, strict=True):
-                found = _cuts(t, p or [], r or [], k, span) if t and (p or r) else []
+                found = _cuts(t, p or [], r or [], k) if t and (p or r) else []
                 if found:
                     data, kept, at = t.encode(), [], 0
                     for start, end in found:

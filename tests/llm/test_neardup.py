@@ -154,3 +154,23 @@ def test_line_groups_by_brute_force(table, small_texts):
     want = {(lines[i][0], lines[i][1]) for i in root}
     got = paragraphs.repeated_paragraphs(table(small_texts)).collect()
     assert {(r.doc_id, p.part) for r in got for p in r.parts or []} == want
+
+
+def test_shared_passages_are_cut_whole(table):
+    """All words of a passage of over 50 words, and what any earlier place shares, go; the words around stay."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for n in (51, 60, 100, 300, 51, 51, 60, 100):
+        passage, before, after = prose(n), prose(25), prose(30)
+        rows += [(len(rows), prose(40) + " " + passage + " " + prose(12)), (len(rows) + 1, before + " " + passage + " " + after)]
+        want[rows[-1][0]] = before.split() + after.split()
+    inner, outer, lead, end = prose(60), prose(20), prose(15), prose(15)
+    rows += [(100, prose(20) + " " + inner + " " + prose(20)), (101, lead + " " + outer + " " + inner), (102, end + " " + outer + " " + inner)]
+    want |= {101: lead.split() + outer.split(), 102: end.split()}
+    twice, middle = prose(80), prose(9)
+    rows += [(103, twice + " " + middle + " " + twice)]
+    want[103] = twice.split() + middle.split()
+    got = {r.doc_id: r.text.split() for r in paragraphs.without_repeats(table(rows)).collect()}
+    assert got == {k: want.get(k, t.split()) for k, t in rows}
+    assert sum(len(got[k]) for k in want if k < 100) == 8 * 55

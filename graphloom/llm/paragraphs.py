@@ -1,10 +1,12 @@
 """Substring dedup by paragraph MinHash banding, with exact verification and clustered removal.
 
-Two kinds of paragraph are compared. Lines of ``MIN_WORDS`` words or more are sketched and banded (16 bands of 4
-coordinates: a pair at the threshold 0.8 is missed with a probability of 2e-4), colliding lines are verified by
-the exact Jaccard similarity of their five-word shingles, and linked lines form components. So that a passage is
+Three kinds of paragraph are compared. Lines, and blocks (lines joined up to a blank one, so that hard-wrapped text is
+seen), of ``MIN_WORDS`` words or more are sketched and banded, each kind for itself (24 bands of 4 coordinates: a pair
+at the threshold 0.8 is missed with a probability of 3e-6), colliding ones are verified by the exact Jaccard
+similarity of their five-word shingles, and linked ones form components. A line that stays for others' sake stays
+though its block is cut. So that a passage is
 found wherever it stands within lines, runs of ``SPAN`` words at content-chosen places (the least hash of ``CHOICE``
-neighbouring runs) are paragraphs too; any passage of ``SPAN + CHOICE - 1`` = 50 words that two places share has
+neighbouring runs) of what then stays are paragraphs too; any passage of ``SPAN + CHOICE - 1`` = 50 words that two places share has
 at least one chosen run in common, with equal shingle sets. Runs are seeds: each is extended to both sides, over
 the words between runs and up to ``CHOICE`` words beyond the outermost, as far as an earlier place agrees, so a
 shared passage is cut whole. Of each component the paragraph with the smallest key, there the first one, stays;
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import sketch as S
-from graphloom.llm.common import arrow_schema, map_batches, short_batches, written
-from graphloom.llm.neardup import near_duplicate_groups, with_ids
+from graphloom.llm.common import arrow_schema, drop_written, map_batches, short_batches, written
+from graphloom.llm.neardup import BROADCAST_IDS, near_duplicate_groups, with_ids
 
-PERCENT, BANDS, ROWS = 80, 16, 4
-MIN_WORDS, SPAN, CHOICE = 40, 20, 31
+PERCENT, BANDS, ROWS = 80, 24, 4
+MIN_WORDS, SPAN, CHOICE = 20, 20, 31
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -40,6 +42,45 @@ def line_words(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode().lower().split(b"\n")]
 
 
+def block_ends(lines: list[list[bytes]]) -> dict[int, int]:
+    """The first line of each block, and the line after its last one."""
+    out, start = {}, None
+    for i, words in enumerate([*lines, []]):
+        if words and start is None:
+            start = i
+        elif not words and start is not None:
+            out[start], start = i, None
+    return out
+
+
+def _words_at(lines: list[list[bytes]], ends: dict[int, int], block: bool, part: int) -> list[bytes]:
+    if not block:
+        return lines[part] if part < len(lines) else []
+    return [w for line in lines[part : ends.get(part, part)] for w in line]
+
+
+def cut_lines(lines: list[list[bytes]], parts: list[dict] | None, blocks: list[dict] | None) -> set[int]:
+    """Lines that go: linked ones and those of linked blocks, but for lines that stay for others' sake."""
+    out, ends = set(), block_ends(lines) if blocks else {}
+    for one in blocks or []:
+        if not one["stays"]:
+            out.update(range(one["part"], ends.get(one["part"], one["part"])))
+    out.difference_update(one["part"] for one in parts or [] if one["stays"])
+    out.update(one["part"] for one in parts or [] if not one["stays"] and one["part"] < len(lines))
+    return out
+
+
+def staying(lines: list[list[bytes]], gone: set[int]) -> list[tuple[int, int]]:
+    """Ranges of words between the lines that go."""
+    out, start, at = [], 0, 0
+    for i, words in enumerate(lines):
+        if i in gone:
+            out.append((start, at))
+            start = at + len(words)
+        at += len(words)
+    return [x for x in [*out, (start, at)] if x[0] < x[1]]
+
+
 def chosen_runs(hashes: np.ndarray, span: int = SPAN, choice: int = CHOICE) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the runs of ``span`` words that are the least (leftmost) of ``choice`` neighbours."""
     runs = S.windows(hashes, span)
@@ -51,28 +92,35 @@ def chosen_runs(hashes: np.ndarray, span: int = SPAN, choice: int = CHOICE) -> t
 
 
 def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFrame:
-    """(k, t) to (k, part, n, hi, lo, bands) for each line with enough words."""
+    """(k, t) to (k, block, part, n, hi, lo, bands) for each line and block with enough words.
+
+    Equal ones of a task have their bands once.
+    """
     schema = T.StructType(
-        [T.StructField("k", rows.schema["k"].dataType), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
+        [T.StructField("k", rows.schema["k"].dataType), T.StructField("block", T.BooleanType()), T.StructField("part", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("hi", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType(), False))]
     )
     arrow = arrow_schema(schema)
 
     def make():
-        seen: dict = {}
+        seen: set = set()
 
         def each(batch: pa.RecordBatch):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in arrow]
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for part, words in enumerate(line_words(text)):
+                lines = line_words(text)
+                ends = block_ends(lines)
+                for block, part in [*((False, i) for i in range(len(lines))), *((True, i) for i in ends)]:
+                    words = _words_at(lines, ends, block, part)
                     if len(words) >= min_words:
                         found = S.shingle_set(S.word_hashes(words))
                         hi, lo = S.identity(found)
-                        banded = seen.get((hi, lo))
-                        if banded is None:
+                        banded = None
+                        if (block, hi, lo) not in seen:
                             if len(seen) > 20_000:
                                 seen.clear()
-                            banded = seen[hi, lo] = S.bands(S.sketch(found, n_bands * n_rows), n_rows)
-                        for column, value in zip(out, (k, part, len(found), hi, lo, banded), strict=True):
+                            seen.add((block, hi, lo))
+                            banded = S.bands(S.sketch(found, n_bands * n_rows), n_rows) ^ np.int64(block)
+                        for column, value in zip(out, (k, block, part, len(found), hi, lo, banded), strict=True):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
@@ -82,7 +130,7 @@ def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFr
 
 
 def _line_sets(rows: DataFrame) -> DataFrame:
-    """(t, wanted: array of (id, part)) to (id, set)."""
+    """(t, wanted: array of (id, block, part, hi, lo)) to (id, set)."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False))])
     arrow = arrow_schema(schema)
 
@@ -91,12 +139,12 @@ def _line_sets(rows: DataFrame) -> DataFrame:
             ids, sets = [], []
             for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 lines = line_words(text)
+                ends = block_ends(lines)
                 for one in wanted:
-                    if one["part"] < len(lines):
-                        found = S.shingle_set(S.word_hashes(lines[one["part"]]))
-                        if S.identity(found) == (one["hi"], one["lo"]):
-                            ids.append(one["id"])
-                            sets.append(found.view("int64"))
+                    found = S.shingle_set(S.word_hashes(_words_at(lines, ends, one["block"], one["part"])))
+                    if S.identity(found) == (one["hi"], one["lo"]):
+                        ids.append(one["id"])
+                        sets.append(found.view("int64"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, arrow.field(1).type)], schema=arrow)
 
         return each
@@ -126,10 +174,10 @@ def _fragments(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
-    """(k, t) to (k, place, h, s, r, a, b): the content-chosen runs of each text.
+    """(k, t, parts, blocks) to (k, place, h, s, r, a, b): the content-chosen runs of each range of words that stays.
 
-    ``s`` names the words from ``a``, where the run before starts (or the text), to the run's end, ``r`` those from
-    the run's start to ``b``, where the run after ends (or the text).
+    ``s`` names the words from ``a``, where the run before starts (or the range), to the run's end, ``r`` those from
+    the run's start to ``b``, where the run after ends (or the range).
     """
     kinds = [("place", T.IntegerType()), ("h", T.LongType()), ("s", T.LongType()), ("r", T.LongType()), ("a", T.IntegerType()), ("b", T.IntegerType())]
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), *[T.StructField(*x) for x in kinds]])
@@ -139,15 +187,18 @@ def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
         def each(batch: pa.RecordBatch):
             row: list[np.ndarray] = []
             out: list[list[np.ndarray]] = [[] for _ in kinds]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                hashes = S.word_hashes(text.encode().lower().split())
-                at, h = chosen_runs(hashes, span, choice)
-                if len(at):
-                    sums = _prefixes(hashes)
-                    a, b = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:] + span, [len(hashes)]])
-                    row.append(np.full(len(at), i))
-                    for column, value in zip(out, (at, h, _fragments(sums, a, at + span), _fragments(sums, at, b), a, b), strict=True):
-                        column.append(value)
+            for i, (text, parts, blocks) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 4)), strict=True)):
+                lines = line_words(text)
+                hashes = S.word_hashes([w for line in lines for w in line])
+                sums = _prefixes(hashes)
+                for start, end in staying(lines, cut_lines(lines, parts, blocks)):
+                    at, h = chosen_runs(hashes[start:end], span, choice)
+                    if len(at):
+                        at += start
+                        a, b = np.concatenate([[start], at[:-1]]), np.concatenate([at[1:] + span, [end]])
+                        row.append(np.full(len(at), i))
+                        for column, value in zip(out, (at, h, _fragments(sums, a, at + span), _fragments(sums, at, b), a, b), strict=True):
+                            column.append(value)
             if row:
                 keys = batch.column(0).take(pa.array(np.concatenate(row)))
                 columns = [np.concatenate(x) for x in out]
@@ -159,8 +210,8 @@ def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, span: int, reach: int) -> DataFrame:
-    """(k, t, wanted: array of (place, h, l, r)) to (k, place, h, side, next, c): hashes ``c`` of the 1, 2, ... ``reach`` words
-    before (side 0) or after (side 1) the run; ``next`` is the first of them."""
+    """(k, t, parts, blocks, wanted: array of (place, h, l, r)) to (k, place, h, side, next, c): hashes ``c`` of the 1, 2, ... ``reach`` words
+    before (side 0) or after (side 1) the run, within what stays; ``next`` is the first of them."""
     kinds = [("place", T.IntegerType()), ("h", T.LongType()), ("side", T.IntegerType()), ("next", T.LongType()), ("c", T.ArrayType(T.LongType(), False))]
     schema = T.StructType([T.StructField("k", rows.schema["k"].dataType), *[T.StructField(*x) for x in kinds]])
     arrow = arrow_schema(schema)
@@ -169,15 +220,17 @@ def _contexts(rows: DataFrame, span: int, reach: int) -> DataFrame:
         def each(batch: pa.RecordBatch):
             row: list[int] = []
             out: list[list] = [[] for _ in kinds]
-            for i, (text, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                hashes = S.word_hashes(text.encode().lower().split())
-                sums, n = _prefixes(hashes), len(hashes)
+            for i, (text, parts, blocks, wanted) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 5)), strict=True)):
+                lines = line_words(text)
+                hashes = S.word_hashes([w for line in lines for w in line])
+                sums, ranges = _prefixes(hashes), staying(lines, cut_lines(lines, parts, blocks))
                 for one in wanted:
                     p, q = one["place"], one["place"] + span
+                    start, n = next((x for x in ranges if x[0] <= p < x[1]), (0, 0))
                     if q > n or S.windows(hashes[p:q], span).view(np.int64)[0] != one["h"]:
                         continue
                     for side, asked in enumerate((one["l"], one["r"])):
-                        far = np.arange(1, min(reach, n - q if side else p) + 1)
+                        far = np.arange(1, min(reach, n - q if side else p - start) + 1)
                         if asked and len(far):
                             c = (_fragments(sums, np.full(len(far), q), q + far) if side else _fragments(sums, p - far, np.full(len(far), p))).view(np.int64)
                             row.append(i)
@@ -227,11 +280,19 @@ def _extents(contexts: DataFrame, span: int) -> DataFrame:
     return map_batches(contexts.repartition(*by).sortWithinPartitions(*by, "k", "place"), make, schema)
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Frees the folders of written tables that nothing reads any more."""
+    for table in tables:
+        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+            drop_written(table.sparkSession, path)
+
+
 def _passages(rows: DataFrame, span: int, choice: int) -> DataFrame:
     """(k, runs: array of (lo, hi)): the words that a chosen run of an earlier place and what agrees around it repeat."""
     runs, me = written(_runs(rows, span, choice), "runs"), F.struct("k", "place")
     again = runs.groupBy("h").agg(F.count("*").alias("c"), F.min(me).alias("first")).where("c > 1").drop("c")
     again = written(runs.join(again, "h").withColumn("later", F.col("first") < me).drop("first"), "again")
+    _drop(runs)
     at = {x: again.groupBy(x).agg(F.count("*").alias("c"), F.min(me).alias(f"{x}_at")).where("c > 1").drop("c") for x in ("s", "r")}
     marked = again.where("later").join(at["s"], "s", "left").join(at["r"], "r", "left")
     left = (F.col("s_at") < me) & F.expr(f"s_at.k <> k OR s_at.place + {span} <= a")
@@ -240,25 +301,21 @@ def _passages(rows: DataFrame, span: int, choice: int) -> DataFrame:
     edges = marked.where("NOT (l AND r)").groupBy("h").agg(F.max(~F.col("l")).alias("l"), F.max(~F.col("r")).alias("r"))
     wanted = again.select("k", "place", "h").join(edges, "h").groupBy("k").agg(F.collect_set(F.struct("place", "h", "l", "r")).alias("wanted"))
     wanted = written(wanted, "wanted")
-    further = _extents(_contexts(with_ids(rows, wanted, "k").select("k", "t", "wanted"), span, choice), span)
+    further = _extents(_contexts(with_ids(rows, wanted, "k").select("k", "t", "parts", "blocks", "wanted"), span, choice), span)
     cut = marked.selectExpr("k", "IF(l, a, place) AS lo", f"IF(r, b, place + {span}) AS hi")
     more = further.selectExpr("k", f"IF(side = 0, place - n, place + {span}) AS lo", f"IF(side = 0, place, place + {span} + n) AS hi")
     return cut.union(more).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
-def _cuts(text: str, parts: list[dict], runs: list[dict], me) -> list[tuple[int, int]]:
-    """Byte ranges to remove, merged: linked lines of which another stays, and words that an earlier place has."""
+def _cuts(text: str, parts: list[dict], blocks: list[dict], runs: list[dict]) -> list[tuple[int, int]]:
+    """Byte ranges to remove, merged: lines and blocks of which another stays, and words that an earlier place has."""
     data = text.encode()
     spans: list[tuple[int, int]] = []
-    if parts:
+    if parts or blocks:
         starts = [0]
         for line in data.split(b"\n"):
             starts.append(starts[-1] + len(line) + 1)
-        met = set()
-        for one in sorted(parts, key=lambda x: x["part"]):
-            if one["part"] + 1 < len(starts) and (one["first"] != me or one["component"] in met):
-                spans.append((starts[one["part"]], min(starts[one["part"] + 1], len(data))))
-            met.add(one["component"])
+        spans += [(starts[i], min(starts[i + 1], len(data))) for i in cut_lines(line_words(text), parts, blocks)]
     if runs:
         words = [m.span() for m in _WORD.finditer(data)]
         spans += [(words[one["lo"]][0], words[one["hi"] - 1][1]) for one in runs if one["hi"] <= len(words)]
@@ -274,46 +331,49 @@ def _cuts(text: str, parts: list[dict], runs: list[dict], me) -> list[tuple[int,
 def repeated_paragraphs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n_bands: int = BANDS, n_rows: int = ROWS, min_words: int = MIN_WORDS, span: int = SPAN, choice: int = CHOICE
 ) -> DataFrame:
-    """(key, parts, runs): for each document with linked paragraphs its lines (part, component, first), where
-    ``first`` is the smallest key of the line's component, and runs (lo, hi), the words that an earlier place has."""
+    """(key, parts, blocks, runs): for each document with linked paragraphs its lines and blocks (part: the first line,
+    stays: it is the first of its component), and runs (lo, hi), the words that an earlier place has."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
 
     lines = written(_lines(rows, n_bands, n_rows, min_words), "lines")
-    ordered = F.struct("k", "part")
-    items = lines.groupBy("hi", "lo").agg(F.min(ordered).alias("at"), F.max(ordered).alias("to"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    items = written(items.select(F.monotonically_increasing_id().alias("id"), "hi", "lo", "at", (F.col("at") != F.col("to")).alias("again"), "n", "bands"), "items")
+    ordered, name = F.struct("k", "part"), ["block", "hi", "lo"]
+    items = lines.groupBy(*name).agg(F.min(ordered).alias("at"), F.max(ordered).alias("to"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    items = written(items.select(F.monotonically_increasing_id().alias("id"), *name, "at", (F.col("at") != F.col("to")).alias("again"), "n", "bands"), "items")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = items.join(ids, "id").groupBy(F.col("at.k").alias("k")).agg(F.collect_list(F.struct("id", F.col("at.part").alias("part"), "hi", "lo")).alias("wanted"))
+        wanted = items.join(ids, "id").groupBy(F.col("at.k").alias("k")).agg(F.collect_list(F.struct("id", "block", F.col("at.part").alias("part"), "hi", "lo")).alias("wanted"))
         return _line_sets(with_ids(rows, wanted, "k").select("t", "wanted"))
 
     groups = near_duplicate_groups(items.select("id", "n", "bands"), sets_of, percent)
-    named = items.select("id", "hi", "lo", F.col("at.k").alias("k"), "again").join(groups, "id", "left")
+    named = items.select("id", *name, "at", "again").join(groups, "id", "left")
     named = named.where("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
-    first = named.groupBy("component").agg(F.min("k").alias("first"))
-    named = named.join(first, "component").select("hi", "lo", "component", "first")
-    parts = lines.select("k", "part", "hi", "lo").join(named, ["hi", "lo"]).groupBy("k").agg(F.collect_set(F.struct("part", "component", "first")).alias("parts"))
-
-    return parts.join(_passages(rows, span, choice), "k", "full").withColumnRenamed("k", key)
+    first = named.groupBy("component").agg(F.min("at").alias("first"))
+    named = named.join(first, "component").select(*name, "first")
+    linked = lines.select("k", "part", *name).join(named, name).select("k", "block", F.struct("part", (F.col("first") == ordered).alias("stays")).alias("one"))
+    of = lambda block: F.collect_set(F.when(block, F.col("one")))
+    parts = written(linked.groupBy("k").agg(of(~F.col("block")).alias("parts"), of(F.col("block")).alias("blocks")), "parts")
+    _drop(lines, items)
+    few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = rows.join(F.broadcast(parts) if few else parts, "k", "left").select("k", "t", "parts", "blocks")
+    return parts.join(_passages(marked, span, choice), "k", "full").withColumnRenamed("k", key)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns, with repeated paragraphs cut out of the text; adds ``_spans`` (bytes removed: start, end)."""
     found = repeated_paragraphs(docs, key, text, **options).withColumnRenamed(key, "_k")
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, F.col("row")[key] == F.col("_k"), "left")
-    listed = joined.select("row", F.col("row")[text].alias("_t"), F.col("row")[key].alias("_k"), "parts", "runs")
+    listed = joined.select("row", F.col("row")[text].alias("_t"), F.col("row")[key].alias("_k"), "parts", "blocks", "runs")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([listed.schema["row"], T.StructField("_t", T.StringType()), T.StructField("_spans", spans)])
     arrow = arrow_schema(schema)
 
     def make():
         def each(batch: pa.RecordBatch):
-            texts, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            parts, runs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            texts, parts, blocks, runs = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
             out, cut = [], []
-            for t, k, p, r in zip(texts, keys, parts, runs, strict=True):
-                found = _cuts(t, p or [], r or [], k) if t and (p or r) else []
+            for t, p, b, r in zip(texts, parts, blocks, runs, strict=True):
+                found = _cuts(t, p or [], b or [], r or []) if t and (p or b or r) else []
                 if found:
                     data, kept, at = t.encode(), [], 0
                     for start, end in found:

@@ -174,3 +174,34 @@ def test_shared_passages_are_cut_whole(table):
     got = {r.doc_id: r.text.split() for r in paragraphs.without_repeats(table(rows)).collect()}
     assert got == {k: want.get(k, t.split()) for k, t in rows}
     assert sum(len(got[k]) for k in want if k < 100) == 8 * 55
+
+
+def test_short_lines_and_wrapped_blocks(table):
+    """Lines of 20 words, equal or near, and near blocks of short lines, go; what stays for others' sake stays."""
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    prose = lambda n: " ".join(words(n))
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    short, near, block, long = prose(20), words(39), words(120), words(120)
+    rows = [(1, prose(60) + "\n" + short + "\n" + prose(30)), (2, prose(30) + "\n" + short), (3, prose(50) + "\n" + " ".join(near)), (4, " ".join(["new", *near[1:]]) + "\n" + prose(45))]
+    changed = [w if i % 45 else "new" for i, w in enumerate(block)]
+    rows += [(5, prose(30) + "\n\n" + wrapped(block, 12) + "\n\n" + prose(25)), (6, prose(25) + "\n\n" + wrapped(changed, 11) + "\n \n" + prose(30))]
+    fresh = prose(22)
+    rows += [(7, " ".join(long) + "\n" + prose(9)), (8, " ".join(long) + "\n" + fresh), (9, prose(80) + "\n" + fresh)]
+    got = {r.doc_id: r.text for r in paragraphs.without_repeats(table(rows)).collect()}
+    before = dict(rows)
+    assert {k for k in got if got[k] != before[k]} == {2, 4, 6, 8, 9}
+    assert got[2].strip() == before[2].split("\n")[0] and got[4] == before[4].split("\n")[1]
+    assert got[6].split() == (before[6].split("\n")[0] + " " + before[6].split("\n")[-1]).split()
+    assert got[8] == fresh and got[9].strip() == before[9].split("\n")[0]
+
+
+def test_lines_of_twenty_words_are_compared(table, small_texts):
+    """Every line of 20 words and more that recurs exactly is linked, whatever the module's constants are."""
+    at = defaultdict(set)
+    for k, t in small_texts:
+        for p, line in enumerate((t or "").split("\n")):
+            if len(line.split()) >= 20:
+                at[line].add((k, p))
+    got = paragraphs.repeated_paragraphs(table(small_texts)).collect()
+    assert {x for f in at.values() if len(f) > 1 for x in f} <= {(r.doc_id, p.part) for r in got for p in r.parts or []}

@@ -13,6 +13,10 @@ from graphloom.llm import minhash, packing, paragraphs, quality
 from graphloom.llm.common import written
 
 
+#: Word shingles that are so alike, or more, are near duplicates here (op6's query alone asks for 85).
+NEAR_PERCENT = 80
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the cascade rejects."""
     return quality.keep_good(docs)
@@ -20,7 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, with the smallest id, of each group of near duplicates."""
-    return minhash.one_of_each(docs)
+    return minhash.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,14 @@ def test_near_duplicates_against_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
     want = sorted(con.execute("SELECT doc_id, n_shingles, component_id, kept FROM (" + minhash.ORACLE + ")").fetchall())
     assert sorted(map(tuple, minhash.query(spark, path).collect())) == want
+
+
+def test_near_duplicates_from_eighty_percent(spark):
+    """Documents that are 0.80 to 0.85 alike don't both pass."""
+    words = [f"w{i}" for i in range(1004)]
+    texts = {1: words, 2: words[:834]}
+    rows = [(k, " ".join(w)) for k, w in texts.items()]
+    assert 800 <= len(texts[2]) - 4 < 850
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], COLUMNS)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()}
+    assert kept == {k for k, _, _, stays in test_neardup._expected(rows, percent=80) if stays} == {1}

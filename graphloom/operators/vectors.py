@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,40 @@ def knn(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", vec
     return scored.orderBy(F.desc("similarity"), key).limit(k)
 
 
+def knn_join(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", ask: int = 1024, hold: int = 8192) -> DataFrame:
+    """(query_id, key, similarity) of the ``k`` nearest of every query, keys being longs; order is by similarity to nine
+    digits, then key. Blocks of about ``ask`` queries meet blocks of about ``hold`` vectors, each giving ``k`` at most;
+    a vector of another dimension is an error, one of length 0 comes last, with null."""
+    asked, held = max(1, -(-queries.count() // ask)), max(1, -(-vectors.count() // hold))
+    spark = vectors.sparkSession
+    rows = lambda t: t.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("long")
+    each = lambda n, name: F.broadcast(spark.range(n).toDF(name))
+    left = rows(queries).withColumn("a", of(asked)).crossJoin(each(held, "b"))
+    right = rows(vectors).withColumn("b", of(held)).crossJoin(each(asked, "a"))
+
+    def nearest(q: pa.Table, t: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if q.num_rows and t.num_rows:
+            x, y = (np.stack([np.asarray(v, float) for v in z["v"].to_pylist()]) for z in (q, t))
+            ids = t["id"].to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :])
+            order = np.where(np.isfinite(found), np.round(found, 9), -2.0)
+            least = np.partition(order, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(x), -2.0)
+            for i, asked_id in enumerate(q["id"].to_pylist()):
+                near = np.flatnonzero(order[i] >= least[i])
+                near = near[np.lexsort((ids[near], -order[i, near]))][:k]
+                out[0] += [asked_id] * len(near)
+                out[1] += ids[near].tolist()
+                out[2] += [v if np.isfinite(v) else None for v in found[i, near].tolist()]
+        return pa.table([pa.array(c, kind) for c, kind in zip(out, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", key, "similarity"])
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(nearest, f"query_id long, `{key}` long, similarity double")
+    best = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc_nulls_last(), key)
+    return found.withColumn("_place", F.row_number().over(best)).where(f"_place <= {k}").drop("_place")
+
+
 def upsert_vectors(old: DataFrame, new: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Keyed latest-wins, with the dimension held."""
     size = old.select(F.size(vector).alias("n")).limit(1).first()

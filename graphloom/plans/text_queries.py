@@ -104,6 +104,13 @@ def vector_knn(spark, sf_dir):
     return vectors.knn(table, list(asked), 20).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(similarity, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC NULLS LAST, vec_id) <= 20""")
+def vector_knn_all(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return vectors.knn_join(table, table.where("vec_id % 100 = 0"), 20).withColumn("similarity", F.round("similarity", 6))
+
+
 _RANKS = ("SELECT vec_id AS node_id, CAST(row_number() OVER (ORDER BY vec_id * 7 % 101, vec_id) - 1 AS INT) AS rank FROM {0} WHERE vec_id < 60", "SELECT vec_id AS node_id, CAST(row_number() OVER (ORDER BY vec_id * 13 % 97, vec_id) - 1 AS INT) AS rank FROM {0} WHERE vec_id BETWEEN 30 AND 120")
 
 

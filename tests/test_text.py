@@ -140,3 +140,18 @@ def test_rename(spark):
     assert edits == {1: (1, "qux foobar bar_foo foo2 qux"), 2: (4, "fn qux() { qux(); }")}
     with pytest.raises(ValueError, match="identifiers"):
         changes.rename_edits(points, lines, "foo", "a b")
+
+
+def test_nearest_of_every_query(spark):
+    """Every hundredth vector asks; blocks of any size give the same, ties go to the smaller key."""
+    rows = [(i, [float((i * 37 + j * j * 11) % 23 - 11) for j in range(8)]) for i in range(350)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    size = lambda v: sum(x * x for x in v) ** 0.5
+    want = set()
+    for q, a in rows[::100]:
+        near = sorted((-round(sum(x * y for x, y in zip(a, b, strict=True)) / (size(a) * size(b)), 9), k) for k, b in rows)[:5]
+        want |= {(q, k) for _, k in near}
+    asked = table.where("vec_id % 100 = 0")
+    for blocks in ({}, {"ask": 2, "hold": 40}):
+        assert {(r.query_id, r.vec_id) for r in vectors.knn_join(table, asked, 5, **blocks).collect()} == want
+    assert vectors.knn_join(table, table.where("false"), 5).collect() == []

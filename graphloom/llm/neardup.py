@@ -1,23 +1,31 @@
 """Near-duplicate groups from banded sketches: exact links, connected components, no pairs of a whole bucket.
 
-Within a bucket every item is first compared with one hub. What the links so far have joined needs no more
-comparing, so later rounds draw growing random sets of leaders (four times as many each round) and compare a
-leader only with members of other components. When all members of a bucket have been leaders every pair in
-different components has been verified: no link between components can be missed, and a bucket of near copies,
-however large, is settled by its first few leaders. Links are verified on the full sets.
+An item that shares no bucket with another has no partner and goes. What is left is compared by its elements, in
+rounds whose work follows the number of elements:
+
+- An element is *shared* if items of different components hold it. An item's elements are ordered: unshared ones
+  first, then the shared ones by how many items hold them. Two sets that are alike enough, in different components,
+  have a shared element in common among the first ``n - ceil(percent * n / 100) + 1`` of each (the prefix), and at
+  the first one they have in common the elements from there on must suffice for the intersection. Items without a
+  shared element in their prefix are settled and go.
+- Of the items that hold an element in their prefix, the one that holds it earliest is its hub. Hubs are compared
+  with the other holders, on the full sets, and components are formed anew: this settles groups of near copies.
+- A round that has joined few items is the last: its holders in different components are then all compared, as far
+  as the positions and sizes leave a link possible. So no link between components is missed, and of a group of near
+  copies only what stands apart from its component is compared at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import written
 
-#: Leaders of a bucket in the first round after the hubs; each later round has FACTOR times as many.
-LEADERS, FACTOR = 8, 4
+#: Hubs of an element in a round. A round that links fewer than one in FACTOR of the items compared is the last one.
+LEADERS, FACTOR = 1, 16
 #: Ids up to this number (16 bytes each when broadcast) are sent to all executors instead of shuffling texts.
 BROADCAST_IDS = 200_000
 
@@ -63,46 +71,54 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return shared.where(f"100L * common >= {percent}L * (both - common)").select("a", "b")
 
 
+def _holders(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(x, id, n, c, pos): the shared elements in the items' prefixes; ``pos`` counts from 0 in the item's order."""
+    named = sets.join(groups.withColumnRenamed("component", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"), F.size("set").alias("n"), "set")
+    rows = named.select("id", "c", "n", F.explode("set").alias("x"))
+    shared = rows.groupBy("x").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("x", "df")
+    own = Window.partitionBy("id")
+    placed = rows.join(shared, "x").select("x", "id", "n", "c", F.count("*").over(own).alias("held"), F.row_number().over(own.orderBy("df", "x")).alias("at"))
+    placed = placed.select("x", "id", "n", "c", F.expr("n - held + at - 1").alias("pos"))
+    return placed.where(f"100L * pos <= {100 - percent}L * n")
+
+
+def _likely(percent: int) -> str:
+    """Whether sets a and b, whose first common element is at pos_a and pos_b, can be alike enough."""
+    return f"c_a <> c_b AND {100 + percent}L * least(n_a - pos_a, n_b - pos_b) >= {percent}L * (n_a + n_b)"
+
+
+def _named(holders: DataFrame, side: str) -> DataFrame:
+    return holders.select("x", *[F.col(c).alias(f"{side}_{c}" if c == "id" else f"{c}_{side}") for c in ("id", "n", "c", "pos")])
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+
+
 def near_duplicate_groups(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, component) of the items that are linked with others.
 
     items: (id long, unique; n: set size; bands: array of long), one per different set. sets_of: gives (id, set)
     for a table of ids.
     """
-    rows = items.select("id", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("hub")).where("m > 1")
-    members = written(rows.join(shared, "bucket"), "members")
-    sets = written(sets_of(members.select("id").distinct()), "sets")
-    sizes = f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)"
-
-    hubs = members.where("id = hub").select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"))
-    pairs = members.where("id <> hub").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b")).join(hubs, "bucket")
-    links = verified(pairs.where(sizes).select("a", "b").distinct(), sets, percent)
-    groups = connected_components(links)
-
-    most = members.agg(F.max("m")).first()[0] or 0
-    rest = members.where("id <> hub AND m > 2").withColumn("draw", F.expr("pmod(xxhash64(id, bucket), 1048576)"))
-    taken, leaders = 0, LEADERS
-    while taken < most - 1:
-        named = rest.join(groups, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        open_ = named.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("bucket")
-        named = written(named.join(open_, "bucket"), "open")
-        if named.isEmpty():
-            break
-        share = lambda k: f"({k}D * 1048576 / (m - 1))"
-        a = named.where(f"draw >= {share(taken)} AND draw < {share(leaders)}").select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"), F.col("draw").alias("draw_a"))
-        b = named.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"), F.col("draw").alias("draw_b"))
-        pairs = a.join(b, "bucket").where(f"c_a <> c_b AND (draw_b > draw_a OR draw_b = draw_a AND b > a) AND {sizes}")
-        found = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
-        name = lambda x: groups.select(F.col("id").alias(x), F.col("component").alias(f"c_{x}"))
-        found = found.join(name("a"), "a", "left").join(name("b"), "b", "left")
-        merged = connected_components(found.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")))
-        if not merged.isEmpty():
-            joined = merged.toDF("component", "new")
-            old = groups.join(joined, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
-            fresh = merged.join(groups.select("id"), "id", "left_anti")
-            groups = written(old.union(fresh), "groups")
-        # buckets whose members are together, or have all led, need no more rounds
-        rest = named.where(f"m - 1 > {leaders}").drop("c")
-        taken, leaders = leaders, leaders * FACTOR
+    rows = items.select("id", F.explode("bands").alias("bucket"))
+    full = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    sets = written(sets_of(rows.join(full, "bucket").select("id").distinct()), "sets")
+    groups = sets.sparkSession.createDataFrame([], "id long, component long")
+    live, last = sets, False
+    while not last:
+        holders = written(_holders(live, groups, percent), "holders")
+        first = holders.groupBy("x", F.expr(f"pmod(xxhash64(id), {LEADERS}L)")).agg(F.min_by(F.struct("id", "n", "c", "pos"), F.struct(F.expr("pos / n"), "id")).alias("hub"))
+        hubs = _named(first.select("x", "hub.*"), "a")
+        pairs = _named(holders, "b").join(hubs, "x").where(_likely(percent))
+        links = written(verified(_distinct(pairs), sets, percent), "links")
+        still = holders.select("id").distinct()
+        last = FACTOR * links.count() <= still.count()
+        if last:
+            # the shorter set a has its first common element in the shorter prefix, which two sets of its size need
+            a = _named(holders, "a").where(f"{100 + percent}L * pos_a <= {100 - percent}L * n_a")
+            pairs = a.join(_named(holders, "b"), "x").where(f"(n_a < n_b OR n_a = n_b AND a_id < b_id) AND {_likely(percent)}")
+            links = links.union(verified(_distinct(pairs), sets, percent))
+        groups = written(connected_components(groups.toDF("a", "b").union(links)), "groups")
+        live = with_ids(sets, still, "id")
     return groups

@@ -75,8 +75,7 @@ def query(docs: DataFrame, posted: DataFrame, nodes: DataFrame, edges: DataFrame
 
 def references(anchors: DataFrame, edges: DataFrame, nodes: DataFrame, limit: int = N.REFS_LIMIT) -> DataFrame:
     """Nodes with any edge to an anchor, each once per type, by path, line and id."""
-    types = [r["type"] for r in edges.select("type").distinct().collect()]
-    rows = store.linked(anchors, edges, nodes, types or ["-"], False).select("id", "type", "name", "label", "file_path", "start_line").distinct()
+    rows = store.linked(anchors, edges, nodes, None, False).select("id", "type", "name", "label", "file_path", "start_line").distinct()
     return rows.orderBy(F.asc_nulls_first("file_path"), F.asc_nulls_first("start_line"), "id").limit(limit)
 
 
@@ -88,7 +87,7 @@ def impact(nodes: DataFrame, edges: DataFrame, direction: str = "upstream", dept
     narrowed = any(selector.get(k) for k in ("uid", "kind", "path"))
     if not narrowed and targets.limit(2).count() > 1:
         return {"ambiguous": targets}
-    found = traverse.impact(targets.select("rowid"), edges, depth, direction, limit)
+    found = traverse.impact_each(targets.select("rowid"), edges, depth, direction, limit)
     rows = found.join(nodes, "rowid").orderBy("depth", F.asc_nulls_first("file_path"), F.asc_nulls_first("start_line"), "id").limit(limit)
     everyone = targets.select("rowid").union(rows.select("rowid")).distinct()
     flows = store.affected_processes(everyone, edges, nodes).orderBy(F.desc("hits"), "id")
@@ -102,8 +101,8 @@ def context(nodes: DataFrame, edges: DataFrame, name: str, **selector: str | Non
     near = lambda hops: hops.join(nodes, "rowid").orderBy("depth", F.asc_nulls_first("file_path"), F.asc_nulls_first("start_line"), "id")
     return {
         "definitions": found,
-        "callers": near(traverse.callers(a, edges, 1, N.NEIGHBOR_CAP)),
-        "callees": near(traverse.callees(a, edges, 1, N.NEIGHBOR_CAP)),
+        "callers": near(traverse.closures(a, edges, 1, ("CALLS",), True, N.NEIGHBOR_CAP).select("rowid", "depth").distinct()),
+        "callees": near(traverse.closures(a, edges, 1, ("CALLS",), False, N.NEIGHBOR_CAP).select("rowid", "depth").distinct()),
         "references": references(a, edges, nodes),
         "processes": store.processes_of(a, edges, nodes).orderBy("id"),
     }
@@ -157,8 +156,7 @@ def detect_changes(diff: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[
 def rename(nodes: DataFrame, edges: DataFrame, lines: DataFrame, old: str, new: str, **selector: str | None) -> DataFrame:
     """Edits of the lines about a symbol's definitions and references; nothing is written."""
     found = store.definitions(nodes, old, **selector)
-    types = [r["type"] for r in edges.select("type").distinct().collect()]
-    users = store.linked(found, edges, nodes, types or ["-"], False)
+    users = store.linked(found, edges, nodes, None, False)
     points = found.select("file_path", F.col("start_line").alias("line")).union(users.select("file_path", F.col("start_line").alias("line"))).where("file_path IS NOT NULL AND line IS NOT NULL").distinct()
     return changes.rename_edits(points, lines, old, new).orderBy("file_path", "line", "column")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
 from graphloom.functions import text as X
+from graphloom.session import written
 
 
 def first_by_id(facts: DataFrame, ordinal: str = "ordinal", key: str = "id") -> DataFrame:
@@ -21,6 +22,24 @@ def first_by_id(facts: DataFrame, ordinal: str = "ordinal", key: str = "id") ->
     return facts.groupBy(key).agg(F.min_by(F.struct(*rest), ordinal).alias("f")).select(key, "f.*")
 
 
+def numbered(rows: DataFrame, order: str, after: int = 0, name: str = "rowid") -> DataFrame:
+    """Row numbers from ``after`` + 1 in the order of a column; each range of it is numbered in a task of its own.
+
+    The sorted rows are written, so that the ranges' counts (a row per range, on the driver) and their rows agree.
+    """
+    spark = rows.sparkSession
+    own = Window.partitionBy("_range").orderBy(order)
+    dealt = rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    sorted_ = written(dealt.withColumn("_n", F.row_number().over(own)), "numbered")
+    counts = sorted_.groupBy("_range").agg(F.count("*").alias("c")).orderBy("_range").collect()
+    starts, at = [], after
+    for r in counts:
+        starts.append((r["_range"], at))
+        at += r["c"]
+    offsets = F.broadcast(spark.createDataFrame(starts, "_range int, _start long"))
+    return sorted_.join(offsets, "_range").withColumn(name, F.col("_start") + F.col("_n")).select(*rows.columns, name)
+
+
 def promoted(facts: DataFrame) -> DataFrame:
     """Node columns from the JSON properties; lines counted from 1, the path under either of its names."""
     props = F.col("properties")
@@ -52,7 +71,7 @@ def ingest(node_facts: DataFrame, edge_facts: DataFrame, old_nodes: DataFrame |
     if old_nodes is not None:
         fresh = fresh.join(old_nodes.select("id"), "id", "left_anti")
         last = old_nodes.agg(F.max("rowid")).first()[0] or 0
-    fresh = fresh.withColumn("rowid", F.row_number().over(Window.orderBy("ordinal")) + F.lit(last).cast("long")).drop("ordinal")
+    fresh = numbered(fresh, "ordinal", last).drop("ordinal")
     added = fresh.count()
     nodes = fresh if old_nodes is None else old_nodes.unionByName(fresh)
     ends = nodes.select("id", "rowid")
@@ -178,16 +197,16 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def batch_stats(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
     one = nodes.agg(F.count_if(F.col("label") == "File").alias("files"), F.count("*").alias("nodes"))
-    return one.withColumns({"edges": F.lit(edges.count()), "chunks": F.lit(chunks.count())})
+    return one.withColumns({"edges": F.lit(edges.count()).cast("long"), "chunks": F.lit(chunks.count()).cast("long")})
 
 
 # --- joins ---------------------------------------------------------------------------------------------------
 
 
-def linked(anchors: DataFrame, edges: DataFrame, nodes: DataFrame, types: Sequence[str], outgoing: bool) -> DataFrame:
-    """(anchor, type, reason, step, confidence, node columns) on the far side of the anchors' edges of some types."""
+def linked(anchors: DataFrame, edges: DataFrame, nodes: DataFrame, types: Sequence[str] | None, outgoing: bool) -> DataFrame:
+    """(anchor, type, reason, step, confidence, node columns) on the far side of the anchors' edges of some types, or any."""
     near, far = ("src", "dst") if outgoing else ("dst", "src")
-    hops = edges.where(F.col("type").isin(*types)).join(anchors.select(F.col("rowid").alias("anchor")), F.col(near) == F.col("anchor"))
+    hops = (edges if types is None else edges.where(F.col("type").isin(*types))).join(anchors.select(F.col("rowid").alias("anchor")), F.col(near) == F.col("anchor"))
     return hops.select("anchor", F.col(far).alias("rowid"), "type", "reason", "step", "confidence").join(nodes, "rowid")
 
 

@@ -11,33 +11,45 @@ from graphloom.functions import names as N
 from graphloom.session import written
 
 
-def bfs(start: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
-    """(rowid, depth) of the nodes within ``depth`` hops of ``start`` (rowid), each once at its least depth, start excluded.
+def closures(start: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
+    """(start, rowid, depth, place): for each start (rowid) on its own, the nodes within ``depth`` hops at their least depth.
 
-    With a limit, nodes count in order of discovery: by level, then by the discoverer's place and the edge's row
-    (its far end's row number where edges have no ``ordinal``). The loop ends early when a level is empty or full.
+    The start itself is left out, other starts are not. With a limit, each start's nodes count in order of discovery:
+    by level, then by the discoverer's place and the edge's row (its far end's row number where edges have no
+    ``ordinal``). The loop ends early when a level is empty.
     """
+    return _walk(start.select(F.col("rowid").alias("start"), "rowid"), edges, depth, types, reverse, limit)
+
+
+def bfs(start: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | None = None, reverse: bool = False, limit: int | None = None) -> DataFrame:
+    """(rowid, depth, place): one walk from all of ``start`` (rowid) together, each node once at its least depth, starts
+    excluded; order and limit as in :func:`closures`."""
+    return _walk(start.select(F.lit(0).cast("long").alias("start"), "rowid"), edges, depth, types, reverse, limit).drop("start")
+
+
+def _walk(seeds: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] | None, reverse: bool, limit: int | None) -> DataFrame:
     near, far = ("dst", "src") if reverse else ("src", "dst")
     hops = edges if types is None else edges.where(F.col("type").isin(*types))
     order = F.col("ordinal") if "ordinal" in edges.columns else F.col(far)
     hops = hops.select(F.col(near).alias("at"), F.col(far).alias("rowid"), order.alias("edge"))
-    seen = written(start.select("rowid", F.lit(0).alias("depth"), F.col("rowid").alias("place")), "level")
-    frontier, found = seen, 0
+    seen = frontier = written(seeds.distinct().select("start", "rowid", F.lit(0).alias("depth"), F.col("rowid").alias("place")), "level")
     for level in range(1, depth + 1):
-        met = frontier.select(F.col("rowid").alias("at"), "place").join(hops, "at").join(seen.select("rowid"), "rowid", "left_anti")
-        fresh = met.groupBy("rowid").agg(F.min(F.struct("place", "edge")).alias("by"))
-        if limit is None:
-            fresh = fresh.select("rowid", F.lit(level).alias("depth"), F.col("by.place").alias("place"))
-        else:
-            fresh = fresh.select("rowid", F.lit(level).alias("depth"), F.row_number().over(Window.orderBy("by", "rowid")).cast("long").alias("place")).where(F.col("place") <= limit - found)
-        frontier = written(fresh, "level")
-        size = frontier.count()
-        if not size:
-            break
-        seen, found = seen.union(frontier), found + size
-        if limit is not None and found >= limit:
+        met = frontier.select("start", F.col("rowid").alias("at"), "place").join(hops, "at").join(seen.select("start", "rowid"), ["start", "rowid"], "left_anti")
+        fresh = met.groupBy("start", "rowid").agg(F.min(F.struct("place", "edge")).alias("by"))
+        place = F.col("by.place")
+        if limit is not None:
+            # a limit on row numbers is also applied before the shuffle, so no task sorts a whole level
+            fresh = fresh.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("by", "rowid"))).where(F.col("n") <= limit)
+            place = F.col("n").cast("long")
+        frontier = written(fresh.select("start", "rowid", F.lit(level).alias("depth"), place.alias("place")), "level")
+        if frontier.isEmpty():
             break
-    return seen.where("depth > 0").select("rowid", "depth", "place")
+        seen = seen.union(frontier)
+    found = seen.where("depth > 0")
+    if limit is not None:
+        first = F.row_number().over(Window.partitionBy("start").orderBy("depth", "place"))
+        found = found.withColumn("n", first).where(F.col("n") <= limit).drop("n")
+    return found.select("start", "rowid", "depth", "place")
 
 
 def callees(start: DataFrame, edges: DataFrame, depth: int, limit: int | None = None) -> DataFrame:
@@ -59,6 +71,17 @@ def impact(start: DataFrame, edges: DataFrame, depth: int, direction: str = "ups
     return up().union(down()).dropDuplicates(["rowid", "edge_type", "depth"])
 
 
+def impact_each(start: DataFrame, edges: DataFrame, depth: int, direction: str = "upstream", limit: int | None = None) -> DataFrame:
+    """(rowid, depth, edge_type): :func:`impact` of each start on its own, with the limit for each; (rowid, edge_type,
+    depth) come once, so a node may be at two depths, and a start in another's reach is in the answer."""
+    sides = {"upstream": ((N.IMPACT_EDGE_TYPES, True, "IMPACT"),), "downstream": ((("CALLS",), False, "CALLS"),)}
+    walks = [closures(start, edges, depth, t, back, limit).select("rowid", "depth", F.lit(name).alias("edge_type")) for t, back, name in sides.get(direction, sides["upstream"] + sides["downstream"])]
+    found = walks[0]
+    for more in walks[1:]:
+        found = found.union(more)
+    return found.distinct()
+
+
 def depth_histogram(found: DataFrame) -> DataFrame:
     return found.groupBy("depth").agg(F.count("*").alias("nodes"))
 
@@ -76,8 +99,9 @@ def ego(center: int, edges: DataFrame, degrees: DataFrame, depth: int = N.EGO_DE
         if left <= 0:
             break
         met = frontier.select(F.col("rowid").alias("at")).join(both, "at").select("rowid").distinct().join(seen.select("rowid"), "rowid", "left_anti")
-        ranked = met.join(degrees, "rowid", "left").withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.coalesce("degree", F.lit(0))), "rowid")) - 1)
-        frontier = written(ranked.where(F.col("k") < left).select("rowid", F.lit(ring).alias("ring"), "k"), "ring")
+        order = [F.desc(F.coalesce("degree", F.lit(0))), F.col("rowid")]
+        most = met.join(degrees, "rowid", "left").orderBy(*order).limit(left)
+        frontier = written(most.select("rowid", F.lit(ring).alias("ring"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("k")), "ring")
         size = frontier.count()
         if not size:
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import store
+
 MOST_CHANGED = 64
 #: Labels that a whole-repository pass derives, so that a changed file cannot be replaced alone.
 DERIVED_LABELS = ("Community", "Process", "Project")
@@ -73,12 +75,19 @@ def file_stats(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFra
     return parts[0].join(parts[1], "file_path", "full_outer").join(parts[2], "file_path", "full_outer").fillna(0)
 
 
+def _first(rows: DataFrame) -> DataFrame:
+    """The first row of each id, by ``ordinal`` where there is one, else by the other columns."""
+    rest = [c for c in rows.columns if c != "id"]
+    return store.first_by_id(rows.withColumn("_order", F.col("ordinal") if "ordinal" in rest else F.struct(*rest)), "_order").select(rows.columns)
+
+
 def merged_enrichment(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Append-only: nodes whose ids are new, and edges whose ends are there and whose ids are new."""
-    fresh = more_nodes.dropDuplicates(["id"]).join(nodes.select("id"), "id", "left_anti").select(nodes.columns)
+    fresh = _first(more_nodes).join(nodes.select("id"), "id", "left_anti").select(nodes.columns)
     everyone = nodes.unionByName(fresh)
     ids = everyone.select("id")
-    linked = more_edges.dropDuplicates(["id"]).join(ids, more_edges.source_id == ids.id, "left_semi").join(ids, more_edges.target_id == ids.id, "left_semi").join(edges.select("id"), "id", "left_anti")
+    links = _first(more_edges)
+    linked = links.join(ids, links.source_id == ids.id, "left_semi").join(ids, links.target_id == ids.id, "left_semi").join(edges.select("id"), "id", "left_anti")
     return everyone, edges.unionByName(linked.select(edges.columns))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names as N
+from graphloom.operators import store
 from graphloom.session import written
 
 
@@ -99,9 +100,13 @@ def ego(center: int, edges: DataFrame, degrees: DataFrame, depth: int = N.EGO_DE
         if left <= 0:
             break
         met = frontier.select(F.col("rowid").alias("at")).join(both, "at").select("rowid").distinct().join(seen.select("rowid"), "rowid", "left_anti")
-        order = [F.desc(F.coalesce("degree", F.lit(0))), F.col("rowid")]
-        most = met.join(degrees, "rowid", "left").orderBy(*order).limit(left)
-        frontier = written(most.select("rowid", F.lit(ring).alias("ring"), (F.row_number().over(Window.orderBy(*order)) - 1).alias("k")), "ring")
+        ranked = met.join(degrees, "rowid", "left").select("rowid", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "rowid").alias("order"))
+        if left <= N.RENDER_BUDGET[2]:
+            k = F.row_number().over(Window.orderBy("order"))
+            ranked = ranked.orderBy("order").limit(left).withColumn("k", k)
+        else:
+            ranked = store.numbered(ranked, "order", name="k").where(F.col("k") <= left)
+        frontier = written(ranked.select("rowid", F.lit(ring).alias("ring"), (F.col("k") - 1).cast("int").alias("k")), "ring")
         size = frontier.count()
         if not size:
             break

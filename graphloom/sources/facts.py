@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RECORD = (
@@ -47,9 +48,15 @@ def _stats(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, said: DataFram
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(ordinal, value) of a text file's lines, from 0."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0]["value"]))
-    return spark.createDataFrame(rows, "ordinal long, value string")
+    """(ordinal, value) of the lines of text files in the order of their names, from 0.
+
+    Each block of a file is numbered where it is read; the blocks' counts, a row each, give their offsets.
+    """
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = own.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return own.join(starts, ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first")).alias("ordinal"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> Facts:
@@ -87,16 +94,18 @@ def read_bundle(spark: SparkSession, path: str) -> Facts:
 
 
 def read(spark: SparkSession, path: str) -> Facts:
-    """Tells the form by the first character: an array, an object over the whole file, or JSON lines; empty is an error."""
+    """Tells the form by the first line: an array, an object over the whole file, or JSON lines; empty is an error."""
     head = spark.read.text(path).where(F.trim("value") != "").first()
     if head is None:
         raise ValueError(f"{path} is empty")
     text = head["value"].strip()
     if text.startswith("["):
         return read_array(spark, path)
-    if text.startswith("{") and spark.read.text(path, wholetext=True).select(F.try_parse_json("value").isNotNull() & F.get_json_object("value", "$.kind").isNull()).first()[0]:
-        return read_bundle(spark, path)
-    return read_jsonl(spark, path)
+    try:
+        lines = "kind" in json.loads(text)
+    except ValueError:
+        lines = '"kind"' in text  # a broken record; the first line of an object over many lines names no kind
+    return read_jsonl(spark, path) if lines or not text.startswith("{") else read_bundle(spark, path)
 
 
 def read_optional(spark: SparkSession, path: str) -> Facts | None:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import ship, written
+
 NODE = "id string, label string, properties string"
 EDGE = "id string, sourceId string, targetId string, type string, confidence double, reason string"
 #: Occurrence roles by bit, the first that is set counts.
@@ -50,7 +51,14 @@ def lowered(files: DataFrame, symbols: DataFrame, occurrences: DataFrame, relati
     props = F.to_json(F.struct(F.coalesce("display_name", "symbol").alias("name"), F.col("symbol").alias("qualifiedName"), F.coalesce("file_path", "at.file_path").alias("filePath"), F.coalesce("start_line", "at.start_line").alias("startLine"), F.coalesce("end_line", "at.end_line").alias("endLine")))
     nodes = own.unionByName(named.select(F.col("symbol").alias("id"), F.coalesce("kind", F.lit("Symbol")).alias("label"), props.alias("properties")))
     edges = relations.select(F.concat_ws(":", F.lit("rel"), "kind", "source", "target").alias("id"), F.col("source").alias("sourceId"), F.col("target").alias("targetId"), F.upper("kind").alias("type"), F.lit(1.0).alias("confidence"), F.lit("").alias("reason"))
-    return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["id"])
+    return first_of_equal(nodes), first_of_equal(edges)
+
+
+def first_of_equal(rows: DataFrame) -> DataFrame:
+    """One row per id: files before symbols and then the least by its other columns, the same on every run."""
+    rest = [c for c in rows.columns if c != "id"]
+    order = F.struct(*([F.col("label") != "File"] if "label" in rest else []), *rest)
+    return rows.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("f")).select("id", "f.*")
 
 
 # --- index protobufs -----------------------------------------------------------------------------------------
@@ -97,47 +105,78 @@ def _signed(data: bytes) -> list[int]:
     return out
 
 
-def index_rows(data: bytes) -> Iterator[tuple]:
-    """(path, language, symbol, bits, range) of every occurrence in an index of documents."""
-    for number, document in _fields(data):
-        if number != 2:
-            continue
-        path = language = ""
-        occurrences = []
-        for n, value in _fields(document):
-            if n == 1:
-                path = value.decode()
-            elif n == 4:
-                language = value.decode()
-            elif n == 2:
-                found: dict[int, list] = {1: [], 2: [b""], 3: [0]}
-                for m, x in _fields(value):
-                    if m == 1:
-                        found[1] += _signed(x) if isinstance(x, bytes) else [x]
-                    elif m in (2, 3):
-                        found[m] = [x]
-                occurrences.append((found[2][0].decode(), found[3][0], found[1]))
-        for symbol, bits, span in occurrences:
-            yield path, language, symbol, bits, span
-        if not occurrences:
-            yield path, language, None, 0, []
+#: What a relationship's flags (by field) say of its two symbols.
+RELATIONS = {3: "implements", 4: "depends_on", 5: "defines", 2: "depends_on"}
+ROW = "kind string, path string, language string, symbol string, bits int, span array<int>, name string, target string, ordinal int"
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(files, occurrences) of index protobufs, read where they lie."""
+def _strings(message: bytes, *numbers: int) -> list[str]:
+    """The last string of each of these fields, empty if there is none."""
+    found = {n: v for n, v in _fields(message) if isinstance(v, bytes)}
+    return [found.get(n, b"").decode() for n in numbers]
+
+
+def _occurrence(message: bytes) -> tuple[str, int, list[int]]:
+    span: list[int] = []
+    bits = 0
+    for n, value in _fields(message):
+        if n == 1:
+            span += _signed(value) if isinstance(value, bytes) else [value]
+        elif n == 3:
+            bits = value
+    return _strings(message, 2)[0], bits, span
+
+
+def index_rows(data: bytes) -> Iterator[tuple]:
+    """Rows of an index (ROW without the ordinal): its tool, and each document's file, occurrences, symbols and relations."""
+    for number, value in _fields(data):
+        if number == 1:
+            root = _strings(value, 3)[0]
+            for tool in [v for n, v in _fields(value) if n == 2]:
+                name, version = _strings(tool, 1, 2)
+                yield "tool", root, None, version, 0, [], name, None
+        elif number == 2:
+            path, language = _strings(value, 1, 4)
+            yield "file", path, language, None, 0, [], None, None
+            for n, inner in _fields(value):
+                if n == 2:
+                    yield "occurrence", path, language, *_occurrence(inner), None, None
+                elif n == 3:
+                    symbol, shown = _strings(inner, 1, 6)
+                    yield "symbol", path, language, symbol, next((v for m, v in _fields(inner) if m == 5), 0), [], shown or None, None
+                    for related in [v for m, v in _fields(inner) if m == 4]:
+                        target = _strings(related, 1)[0]
+                        for flag in [m for m, v in _fields(related) if m in RELATIONS and v == 1 and target]:
+                            yield "relation", path, language, symbol, 0, [], RELATIONS[flag], target
+
+
+def index_tables(contents: DataFrame) -> dict[str, DataFrame]:
+    """``files``, ``occurrences``, ``symbols``, ``relations`` and ``tools`` of index protobufs (content); each index is parsed once."""
     import pandas as pd
 
     def run(frames):
         for frame in frames:
             for content in frame["content"]:
-                yield pd.DataFrame(list(index_rows(bytes(content))), columns=["path", "language", "symbol", "bits", "span"])
+                rows = [(*row, i) for i, row in enumerate(index_rows(bytes(content)))]
+                yield pd.DataFrame(rows, columns=["kind", "path", "language", "symbol", "bits", "span", "name", "target", "ordinal"])
+
+    ship(contents.sparkSession)
+    rows = written(contents.select("content").mapInPandas(run, ROW), "index")
+    of = lambda kind: rows.where(F.col("kind") == kind)
+    at = decoded_range(F.col("span"))
+    return {
+        "files": of("file").select("path", "language", F.lit(None).cast("string").alias("digest")).distinct(),
+        "occurrences": of("occurrence").select("symbol", role(F.col("bits")).alias("role"), F.col("path").alias("file_path"), at.alias("at"), "ordinal").select("symbol", "role", "file_path", "at.start_line", "at.end_line", "ordinal"),
+        "symbols": of("symbol").groupBy("symbol").agg(F.min_by(F.struct(F.coalesce("name", "symbol").alias("display_name"), F.col("bits").alias("kind"), F.col("path").alias("file_path")), F.struct("path", "ordinal")).alias("f")).select("symbol", "f.*"),
+        "relations": of("relation").select(F.col("symbol").alias("source"), "target", F.col("name").alias("kind")).distinct(),
+        "tools": of("tool").select("name", F.col("symbol").alias("version"), F.col("path").alias("project_root")),
+    }
 
-    schema = "path string, language string, symbol string, bits int, span array<int>"
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
-    span = decoded_range(F.col("span"))
-    files = rows.select("path", "language", F.lit(None).cast("string").alias("digest")).distinct()
-    occurrences = rows.where("symbol IS NOT NULL").select("symbol", role(F.col("bits")).alias("role"), F.col("path").alias("file_path"), span.alias("at")).select("symbol", "role", "file_path", "at.start_line", "at.end_line")
-    return files, occurrences
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(files, occurrences) of index protobufs, read where they lie."""
+    tables = index_tables(spark.read.format("binaryFile").load(path))
+    return tables["files"], tables["occurrences"].drop("ordinal")
 
 
 # --- symbol trees and resolutions ----------------------------------------------------------------------------
@@ -170,32 +209,30 @@ def symbol_tables(files: DataFrame, separator: str = ".") -> tuple[DataFrame, Da
 
     import pandas as pd
 
-    def rows(which: int, columns: list[str]):
-        def run(frames):
-            for frame in frames:
-                out = []
-                for path, text in zip(frame["file_path"], frame["symbols"], strict=True):
-                    out += flattened_symbols(path, json.loads(text), separator)[which]
-                yield pd.DataFrame(out, columns=columns)
-
-        return run
-
-    source = files.select("file_path", "symbols")
-    nodes = source.mapInPandas(rows(0, ["id", "label", "name", "qualified_name", "file_path", "start_line", "end_line"]), "id string, label string, name string, qualified_name string, file_path string, start_line int, end_line int")
-    edges = source.mapInPandas(rows(1, ["source_id", "target_id", "type"]), "source_id string, target_id string, type string")
-    return nodes, edges
-
+    def run(frames):
+        for frame in frames:
+            out = []
+            for path, text in zip(frame["file_path"], frame["symbols"], strict=True):
+                found, links = flattened_symbols(path, json.loads(text), separator)
+                out += [("node", *n, None, None, None) for n in found] + [("edge", *[None] * 7, *e) for e in links]
+            yield pd.DataFrame(out, columns=columns).astype({"start_line": "Int32", "end_line": "Int32"})
 
-_AT = re.compile(r"^\s*(\S+?):(\d+):(\d+)(?:-(\d+))?:?\s*$")
+    columns = ["kind", "id", "label", "name", "qualified_name", "file_path", "start_line", "end_line", "source_id", "target_id", "type"]
+    schema = ", ".join(f"{c} {'int' if c.endswith('_line') else 'string'}" for c in columns)
+    ship(files.sparkSession)
+    rows = written(files.select("file_path", "symbols").mapInPandas(run, schema), "symbols")
+    return rows.where("kind = 'node'").select(columns[1:8]), rows.where("kind = 'edge'").select(columns[8:])
 
 
 def resolutions(lines: DataFrame) -> DataFrame:
-    """(source, definition) positions of a resolver's output (line, text): a query's heading, then indented definitions."""
-    from pyspark.sql import Window
+    """(source, definition) positions of resolvers' outputs (line, text): a query's heading, then indented definitions.
 
+    With a column ``output`` each output is read on its own; without one the rows are one output.
+    """
     place = r"^\s*(\S+?):(\d+):(\d+)"
     heading = F.col("text").rlike(r"^\S+:\d+:\d+") & (F.col("text").contains("queried") | F.col("text").rlike(r":\s*found"))
-    upto = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("output") if "output" in lines.columns else Window.partitionBy(F.lit(0))
+    upto = own.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = F.struct(F.regexp_extract("text", place, 1).alias("file_path"), F.regexp_extract("text", place, 2).cast("int").alias("line"), F.regexp_extract("text", place, 3).cast("int").alias("column"))
     rows = lines.withColumn("source", F.last(F.when(heading, at), True).over(upto)).where(~heading & F.col("text").rlike(place) & F.col("source").isNotNull())
     return rows.select("source", at.alias("definition"))
@@ -208,7 +245,7 @@ def lowered_resolutions(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     node = lambda i, label, p: found.select(i.alias("id"), F.lit(label).alias("label"), F.col(f"{p}.file_path").alias("file_path"), F.col(f"{p}.line").alias("start_line"))
     reference, symbol = key("ref", "source"), key("def", "definition")
     files = found.select(F.explode(F.array("source.file_path", "definition.file_path")).alias("p")).select(F.concat(F.lit("file:"), "p").alias("id"), F.lit("File").alias("label"), F.col("p").alias("file_path"), F.lit(None).cast("int").alias("start_line"))
-    nodes = files.unionByName(node(reference, "Reference", "source")).unionByName(node(symbol, "Symbol", "definition")).dropDuplicates(["id"])
+    nodes = files.unionByName(node(reference, "Reference", "source")).unionByName(node(symbol, "Symbol", "definition"))
     edge = lambda a, b, t: found.select(a.alias("source_id"), b.alias("target_id"), F.lit(t).alias("type"))
     edges = edge(file("source"), reference, "CONTAINS").unionByName(edge(file("definition"), symbol, "DEFINES")).unionByName(edge(reference, symbol, "REFERS_TO")).distinct()
-    return nodes, edges
+    return first_of_equal(nodes), edges

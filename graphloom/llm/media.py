@@ -31,7 +31,7 @@ from graphloom.llm.common import arrow_schema, map_batches, scratch_path, short_
 ROW = 64
 SCHEME = "media:"
 
-SEGMENT = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("caption", T.StringType())])
+SEGMENT = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("caption", T.StringType()), T.StructField("source", T.StringType())])
 
 
 def to_pgm(payload: bytes) -> bytes:
@@ -72,14 +72,14 @@ class _Segments(HTMLParser):
         self.found: list[dict] = []
         self.text: list[str] = []
         self.quiet = 0
-        self.figures: list[int] = []
+        self.figures: list[list] = []  # place of the first segment, captions
         self.caption: list[str] | None = None
 
     def end_text(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.found.append({"kind": "text", "text": text, "digest": None, "caption": None})
+            self.found.append({"kind": "text", "text": text, "digest": None, "caption": None, "source": None})
 
     def handle_starttag(self, tag, attrs):
         if tag in self.QUIET:
@@ -87,29 +87,55 @@ class _Segments(HTMLParser):
         if tag in self.BLOCKS or tag in self.MEDIA:
             self.end_text()
         if tag == "figure":
-            self.figures.append(len(self.found))
+            self.end_caption()
+            self.figures.append([len(self.found), []])
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         elif tag in self.MEDIA:
             named = dict(attrs)
             source = named.get("src") or ""
-            self.found.append({"kind": "media", "text": named.get("alt"), "digest": source[len(SCHEME) :] if source.startswith(SCHEME) else None, "caption": None})
+            self.found.append({"kind": "media", "text": named.get("alt"), "digest": source[len(SCHEME) :] if source.startswith(SCHEME) else None, "caption": None, "source": source or None})
 
     def handle_endtag(self, tag):
         if tag in self.QUIET:
             self.quiet = max(0, self.quiet - 1)
-        if tag == "figcaption" and self.caption is not None:
-            words = " ".join("".join(self.caption).split())
-            self.caption = None
-            for segment in self.found[self.figures[-1] if self.figures else len(self.found) :]:
-                if segment["kind"] == "media":
-                    segment["caption"] = words
-        elif tag == "figure" and self.figures:
-            self.end_text()
-            self.figures.pop()
+        if tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure":
+            self.end_figure()
         elif tag in self.BLOCKS:
             self.end_text()
 
+    def end_caption(self) -> None:
+        """A caption waits for its figure's end, as it may stand before the media; one outside figures is text."""
+        if self.caption is None:
+            return
+        words, self.caption = " ".join("".join(self.caption).split()), None
+        if words and self.figures:
+            self.figures[-1][1].append(words)
+        elif words:
+            self.found.append({"kind": "text", "text": words, "digest": None, "caption": None, "source": None})
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.end_text()
+        if not self.figures:
+            return
+        first, captions = self.figures.pop()
+        media = [x for x in self.found[first:] if x["kind"] == "media" and x["caption"] is None]
+        for segment in media:
+            segment["caption"] = " ".join(captions) or None
+        if captions and not media:
+            self.found.append({"kind": "text", "text": " ".join(captions), "digest": None, "caption": None, "source": None})
+
+    def end_page(self) -> None:
+        """What a page leaves open ends with it."""
+        self.end_caption()
+        self.end_text()
+        while self.figures:
+            self.end_figure()
+
     def handle_data(self, data):
         if not self.quiet:
             (self.text if self.caption is None else self.caption).append(data)
@@ -119,7 +145,7 @@ def segments(html: str | None) -> list[dict]:
     parser = _Segments()
     parser.feed(html or "")
     parser.close()
-    parser.end_text()
+    parser.end_page()
     return [{"position": i, **x} for i, x in enumerate(parser.found)]
 
 

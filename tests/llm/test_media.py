@@ -43,3 +43,13 @@ def test_absent_payloads_stay(spark):
     none = spark.createDataFrame([], "digest string, feature string")
     got = media.resolved(media.interleaved(pages), none, "page_id").collect()
     assert [(r.kind, r.feature) for r in sorted(got, key=lambda r: r.position)] == [("media", None), ("text", None)]
+
+
+def test_captions_before_media_unclosed_and_alone():
+    shown = lambda html: [(s["kind"], s["text"], s["caption"], s["source"]) for s in media.segments(html)]
+    assert shown("<figure><figcaption>first</figcaption><img src=media:aa></figure>") == [("media", None, "first", "media:aa")]
+    assert shown("<figure><img src=a.png><figcaption>open</figure>tail") == [("media", None, "open", "a.png"), ("text", "tail", None, None)]
+    assert shown("<figure><figcaption>alone</figcaption></figure>x") == [("text", "alone", None, None), ("text", "x", None, None)]
+    assert shown("<figcaption>never closed <p>all <b>text") == [("text", "never closed all text", None, None)]
+    nested = "<figure><img src=a><figure><img src=b><figcaption>inner</figcaption></figure><figcaption>outer</figcaption></figure>"
+    assert shown(nested) == [("media", None, "outer", "a"), ("media", None, "inner", "b")]

@@ -104,12 +104,13 @@ def write_packages(pages: DataFrame, folder: str, zip64: bool = False, package_b
             nonlocal parts, lines, held, number
             if not parts:
                 return
-            name = f"{base}/part-{task:05d}-{number:04d}.wacz"
+            # the attempt is in the name: one that runs again may get its rows in another order
+            name = f"{base}/part-{task:05d}-{attempt}-{number:04d}.wacz"
             system.create_dir(base, recursive=True)
-            with system.open_output_stream(f"{name}.{attempt}.tmp") as out:
+            with system.open_output_stream(f"{name}.tmp") as out:
                 for piece in zip_package([(DATA, parts), (INDEX, ["".join(lines).encode()])], zip64):
                     out.write(piece)
-            system.move(f"{name}.{attempt}.tmp", name)
+            system.move(f"{name}.tmp", name)
             written_.append((name, len(lines)))
             parts, lines, held, number = [], [], 0, number + 1
 

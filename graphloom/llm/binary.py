@@ -118,7 +118,10 @@ def packed_rows(
         for batch in batches:
             keys = batch.column(0).to_pylist()
             for k, ids in zip(keys, tool.encode(batch.column(1).to_pylist()), strict=True):
-                small = np.frombuffer(ids + end, "<u4").astype("<u2")
+                wide = np.frombuffer(ids + end, "<u4")
+                if wide.max() > 0xFFFF:
+                    raise ValueError("ids beyond 65535 don't fit the stored 16 bits")
+                small = wide.astype("<u2")
                 for start in range(0, len(small), width):
                     pieces.append((k, start, small[start : start + width]))
                 held += len(small)

@@ -53,6 +53,24 @@ def positions(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
     return out, found
 
 
+def is_laid_out(nodes: DataFrame, placed: DataFrame) -> bool:
+    """Whether every node has a place; an empty or older layout has to be made anew."""
+    return nodes.join(placed, "rowid", "left_anti").isEmpty()
+
+
+def exported(numbered: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(lod): one JSON text of a level of detail: columns of the numbered nodes, and edges as pairs, as viewers read it.
+
+    A level of detail has a bounded number of nodes, so one row holds it.
+    """
+    rows = numbered.join(nodes.select("rowid", "id", "label", F.coalesce("name", "id").alias("name")), "rowid")
+    node = F.struct("i", "id", "label", "name", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("size", 3).alias("size"), "cluster")
+    listed = rows.agg(F.array_sort(F.collect_list(node)).alias("nodes"))
+    pairs = edges.agg(F.array_sort(F.collect_list(F.array("s", "t"))).alias("edges"))
+    column = lambda c: F.col(f"nodes.{c}").alias(c)
+    return listed.crossJoin(pairs).select(F.to_json(F.struct(*[column(c) for c in ("id", "label", "name", "x", "y", "size", "cluster")], "edges")).alias("lod"))
+
+
 def lod(placed: DataFrame, edges: DataFrame, nodes: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the largest ``nodes`` nodes, numbered by size and row, with the edges between them."""
     top = placed.orderBy(F.desc("size"), "rowid").limit(nodes)
@@ -164,9 +182,12 @@ def display_labels(found: DataFrame, files: DataFrame, symbols: DataFrame) -> Da
     return rows.select("cluster", display.alias("display"))
 
 
-def overview(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per cluster: place, members, incident weight, size on the map, display label and quality."""
-    placed, found = positions(nodes, edges)
+def overview(nodes: DataFrame, edges: DataFrame, layout: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row per cluster: place, members, incident weight, size on the map, display label and quality.
+
+    ``layout``: positions and clusters as :func:`positions` gives them, if they are stored.
+    """
+    placed, found = layout or positions(nodes, edges)
     files, symbols = top_files(nodes, placed), top_symbols(nodes, placed)
     incident = incident_weight(cluster_edges(edges, placed))
     rows = found.join(incident, "cluster", "left").fillna(0, ["incident"])

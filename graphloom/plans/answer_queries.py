@@ -11,6 +11,7 @@ from graphloom.plans.graph_queries import G, IMPACT, L, _between, _placed, _rows
 from graphloom.plans.registry import query
 from graphloom.plans.text_queries import _score, _tokens
 from graphloom.plans.upkeep_queries import _POINTS
+from graphloom.session import stored
 from graphloom.sources.files import diff_lines
 from graphloom.sources.tables import SPAN, edges, nodes
 
@@ -267,8 +268,9 @@ answer AS (SELECT id AS node_id, ranked AS score, bucket, name, file_path, label
 
 
 def _index(spark, sf_dir):
+    """The nodes as documents, and their postings, which are stored."""
     docs = search.documents(nodes(spark, sf_dir))
-    return docs, search.postings(docs)
+    return docs, stored(spark, "postings", sf_dir, lambda: search.postings(docs))
 
 
 @query(f"{G}, {_search(('small', 'widget'), 30)} SELECT node_id, round(score, 6) AS score, bucket, name, file_path, label, start_line FROM answer")
@@ -339,7 +341,8 @@ def viewer_degrees(spark, sf_dir):
 @query(f"""{L}, {_PAIRS}, inc AS ({_INCIDENT}) SELECT cl.cluster, members, coalesce(incident, 0) AS incident, round(1 + 1.35 * ln(1.0 + members) + 0.35 * ln(1.0 + coalesce(incident, 0)), 6) AS size,
 array_to_string(list_transform(regexp_extract_all(lower(cluster_label), '[a-z0-9]+'), lambda x: concat(upper(x[1]), x[2:])), ' ') AS display FROM cl LEFT JOIN inc USING (cluster)""")
 def cluster_overview(spark, sf_dir):
-    found = layout.overview(*_graph(spark, sf_dir))
+    n, e, *placed = _placed(spark, sf_dir)
+    found = layout.overview(n, e, tuple(placed))
     return _long(found, "cluster", "members").select("cluster", "members", "incident", F.round("size", 6).alias("size"), "display")
 
 
@@ -355,6 +358,24 @@ def visible_clusters(spark, sf_dir):
     return _long(viewer.visible_clusters(viewer.cluster_centers(placed), -3000, -3000, 3000, 3000), "cluster").select("cluster")
 
 
+@query(f"""{L}, top AS (SELECT row_number() OVER (ORDER BY size DESC, rowid) - 1 AS i, rowid, cluster FROM pos ORDER BY size DESC, rowid LIMIT 100)
+SELECT i, n.id, label, cluster FROM top JOIN nodes n USING (rowid)""")
+def lod_export(spark, sf_dir):
+    """The JSON of a level of detail, read back."""
+    n, e, placed, _ = _placed(spark, sf_dir)
+    made = layout.exported(*layout.lod(placed, e, 100), n)
+    read = made.select(F.from_json("lod", "id array<string>, label array<string>, cluster array<bigint>").alias("l"))
+    return _long(read.select(F.posexplode(F.arrays_zip("l.id", "l.label", "l.cluster")).alias("i", "x")).select("i", "x.id", "x.label", "x.cluster"), "i")
+
+
+@query("SELECT true AS complete, false AS after_an_insert")
+def layout_guard(spark, sf_dir):
+    """Whether the stored layout has a place for every node, and whether it has one once a node has been added."""
+    n, _, placed, _ = _placed(spark, sf_dir)
+    more = n.union(n.limit(1).withColumn("rowid", F.lit(-1).cast("long")))
+    return spark.createDataFrame([(layout.is_laid_out(n, placed), layout.is_laid_out(more, placed))], "complete boolean, after_an_insert boolean")
+
+
 _P = f"WITH p AS ({_POINTS.replace('{', '').replace('}', '')})"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import layout, store, traverse
 from graphloom.plans.registry import query
+from graphloom.session import stored
 from graphloom.sources.tables import EDGES_SQL, NODES_SQL, SPAN, edges, nodes
 
 G = f"WITH RECURSIVE nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
@@ -194,8 +195,9 @@ SELECT cluster, id, coalesce(name, id) AS name, file_path, (3 * degree + round(6
 
 
 def _placed(spark, sf_dir):
+    """Nodes, edges, and the layout, which is computed once in an application and written back."""
     n, e = nodes(spark, sf_dir), edges(spark, sf_dir)
-    return n, e, *layout.positions(n, e)
+    return n, e, *[stored(spark, name, sf_dir, lambda part=part: layout.positions(n, e)[part]) for part, name in enumerate(("positions", "clusters"))]
 
 
 @query(f"{L} SELECT rowid, cluster, k, round(x, 4) AS x, round(y, 4) AS y, round(size, 6) AS size FROM pos")

@@ -8,6 +8,7 @@ from graphloom.functions import text as X
 from graphloom.operators import answers, changes, grep, search, vectors
 from graphloom.plans.graph_queries import G
 from graphloom.plans.registry import query
+from graphloom.session import stored
 from graphloom.sources.tables import SPAN, edges, lines, nodes
 
 LINES = "lines AS (SELECT concat(source, '/', lang, '/', doc_id, '.txt') AS file_path, generate_subscripts(l, 1)::INT AS line, unnest(l) AS text FROM (SELECT source, lang, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
@@ -46,7 +47,7 @@ SELECT doc_id, round(score, 6) AS score FROM scored""")
 def bm25_search(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang = 'en' AND text IS NOT NULL")
     none = F.lit(None).cast("string")
-    posted = search.postings(docs.select("doc_id", none.alias("name"), "text", none.alias("file_path")))
+    posted = stored(spark, "postings-en", sf_dir, lambda: search.postings(docs.select("doc_id", none.alias("name"), "text", none.alias("file_path"))))
     return search.bm25(posted, ["stupid", "worthless"], docs.count()).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -63,7 +64,8 @@ def _node_docs(spark, sf_dir, labels: str):
 SELECT doc_id AS node_id, round(score, 6) AS score FROM scored""")
 def bm25_fielded_boost(spark, sf_dir):
     docs = _node_docs(spark, sf_dir, "'Struct', 'Function'")
-    found = search.bm25(search.postings(docs), ["small", "ring", "parts"], docs.count())
+    posted = stored(spark, "postings-parts", sf_dir, lambda: search.postings(docs))
+    found = search.bm25(posted, ["small", "ring", "parts"], docs.count())
     return found.join(docs.select("doc_id", "node_id"), "doc_id").select("node_id", F.round("score", 6).alias("score"))
 
 

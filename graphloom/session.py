@@ -6,9 +6,11 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "graphloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,6 +52,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder, which outlives executors."""
+    return _write(df, name)[0]
+
+
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table (an edge table, postings, a layout) of a source folder: written once in an application, then read.
+
+    It is built again if its files are gone. :func:`forget` drops what is known of a source that has changed.
+    """
+    key = (spark.sparkContext.applicationId, name, source)
+    if key in _STORED:
+        path, schema = _STORED[key]
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.schema(schema).parquet(path)
+    table, path = _write(build(), name)
+    _STORED[key] = (path, table.schema)
+    return table
+
+
+def forget(source: str) -> None:
+    """Tables of a source folder are built anew when next asked for."""
+    for key in [k for k in _STORED if k[2] == source]:
+        del _STORED[key]

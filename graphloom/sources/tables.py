@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import stored
+
 #: Room for the keys of one kind of node in the row number space.
 SPAN = 10**12
 KINDS = {"region": 1, "nation": 2, "supplier": 3, "customer": 4, "part": 5, "order": 6}
@@ -50,12 +52,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, type, step) by row numbers."""
+    """(src, dst, type, step) by row numbers; derived once in an application, with its DISTINCTs, and stored."""
+    return stored(spark, "edges", sf_dir, lambda: _edges(spark, sf_dir)).withColumns({"confidence": F.lit(1.0), "reason": F.lit("")})
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = register(spark, sf_dir, ("nation", "supplier", "customer", "orders", "lineitem"))
     sql = EDGES_SQL
     for name in found:
         sql = sql.replace(f"FROM {name}", "FROM {" + name + "}").replace(f"JOIN {name}", "JOIN {" + name + "}")
-    return spark.sql(sql, **found).withColumns({"confidence": F.lit(1.0), "reason": F.lit("")})
+    return spark.sql(sql, **found)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

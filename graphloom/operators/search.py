@@ -41,10 +41,10 @@ def field_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field").agg((F.sum("tf") / F.count_distinct("doc_id")).alias("avgdl"))
 
 
-def bm25(posted: DataFrame, terms: list[str], docs_count: int, boosts: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, score): BM25 summed over terms and fields, a field's share times its boost."""
+def bm25(posted: DataFrame, terms: list[str], docs_count: int, boosts: dict[str, float] | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score): BM25 summed over terms and fields, a field's share times its boost; ``stats`` if they are stored."""
     boosts = boosts or {"name": N.NAME_BOOST, "text": 1.0, "file_path": 1.0}
-    stats = field_stats(posted)  # a row per field
+    stats = field_stats(posted) if stats is None else stats  # a row per field
     hits = posted.where(F.col("term").isin(*terms) & F.col("field").isin(*boosts)).join(F.broadcast(stats), "field")
     df = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row per field and query term
     idf = F.log(1 + (docs_count - F.col("df") + 0.5) / (F.col("df") + 0.5))

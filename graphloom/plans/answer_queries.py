@@ -459,3 +459,29 @@ def node_texts(spark, sf_dir):
     props = F.concat(F.lit('{"steps":'), items, F.lit(',"summary":"'), "p_type", F.lit('","name":"'), "p_name", F.lit('"}'))
     label = F.when(F.col("p_partkey") % 3 == 0, "Function").otherwise("Tool")
     return part.select("p_partkey", X.node_text(label, props).alias("text"))
+
+
+# --- whole tables as anchors ---------------------------------------------------------------------------------
+
+
+@query(f"{G} SELECT id, name, count(*) AS hits, min(step) AS first_step FROM edges JOIN nodes n ON dst = n.rowid WHERE type = 'STEP_IN_PROCESS' AND label = 'Process' GROUP BY 1, 2")
+def affected_processes_of_all(spark, sf_dir):
+    n, e = _graph(spark, sf_dir)
+    return store.affected_processes(n.select("rowid"), e, n)
+
+
+@query(f"{G} SELECT src AS anchor, n.rowid, id, name, step FROM edges JOIN nodes n ON dst = n.rowid WHERE type = 'ENTRY_POINT_OF' AND label = 'Process'")
+def entry_processes_of_all(spark, sf_dir):
+    n, e = _graph(spark, sf_dir)
+    return store.processes_of(n.select("rowid"), e, n, "ENTRY_POINT_OF")
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_tokens('text')} AS t FROM documents WHERE text IS NOT NULL),
+{_score("SELECT 'text' AS field, doc_id, len(t) AS dl, unnest(t) AS term FROM d", "SELECT count(*) FROM documents WHERE text IS NOT NULL", "('stupid', 'worthless')", "1.0")}
+SELECT doc_id, round(score, 6) AS score FROM scored""")
+def bm25_all_documents(spark, sf_dir):
+    """Documents of all languages, and of none, with the statistics of all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    none = F.lit(None).cast("string")
+    posted = stored(spark, "postings-documents", sf_dir, lambda: search.postings(docs.select("doc_id", none.alias("name"), "text", none.alias("file_path"))))
+    return search.bm25(posted, ["stupid", "worthless"], docs.count()).select("doc_id", F.round("score", 6).alias("score"))

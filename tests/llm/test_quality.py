@@ -49,3 +49,14 @@ def test_keep_good_carries_all_columns(table, odd_texts):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in quality.quality(docs).where("kept").collect())
+
+
+def test_filters_leave_the_plan_small(table, small_texts):
+    """A filter on the verdict doesn't repeat the features' expressions."""
+    made = quality.quality(table(small_texts[:3]))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(made.where("kept")) < 2 * size(made)
+
+
+def test_query_has_the_columns_of_its_sql(spark):
+    assert quality.query(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

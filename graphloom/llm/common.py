@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows that the JVM puts in one Arrow batch; whole texts are long, so batches are kept short.
-BATCH_ROWS = 512
+#: Rows, and bytes, that the JVM puts in one Arrow batch; whole texts are long, so batches are kept short.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -45,17 +46,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds a Python worker's memory: an Arrow batch holds at most ``rows`` texts."""
+    """Bounds a Python worker's memory: an Arrow batch holds at most ``rows`` texts, and few bytes beyond BATCH_BYTES."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set."""
+    """The folder that driver and executors share; one is made only where none is set and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -73,9 +77,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Frees the folders of written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished steps, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -13,6 +13,7 @@ and kept by ``one_of_each``.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,14 +40,19 @@ def fingerprints(rows: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
-                found = S.shingle_set(S.word_hashes(words_of(text)))
-                hi, lo = S.identity(found) if len(found) else (None, None)
-                banded = S.bands(S.sketch(found, n_bands * n_rows), n_rows) if len(found) else None
-                for column, value in zip(out, (len(found), hi, lo, banded), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(x, f.type) for x, f in zip(out, list(arrow)[1:], strict=True)], schema=arrow)
+            texts = [words_of(text) for text in batch.column(1).to_pylist()]
+            length = np.array([len(words) for words in texts], np.int64)
+            start = np.cumsum(length) - length
+            elements, at = S.shingle_sets(S.word_hashes([w for words in texts for w in words]), start, length)
+            some = np.flatnonzero(length)
+            names = [S.identity(elements[at[i] : at[i + 1]]) if length[i] else (None, None) for i in range(len(texts))]
+            banded: list = [None] * len(texts)
+            if len(some):
+                sizes = np.diff(at)[some]
+                for i, row in zip(some, S.bands(S.sketches(elements, np.concatenate([[0], np.cumsum(sizes)]), n_bands * n_rows), n_rows), strict=True):
+                    banded[i] = row
+            columns = [np.diff(at).astype("int32"), [x[0] for x in names], [x[1] for x in names], banded]
+            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(x, f.type) for x, f in zip(columns, list(arrow)[1:], strict=True)], schema=arrow)
 
         return each
 
@@ -85,7 +91,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         wanted = items.select("id", "k", "hi", "lo").join(ids, "id")
         return shingle_sets(with_ids(rows, wanted, "k").select("id", "hi", "lo", "t"))
 
-    groups = near_duplicate_groups(items.where("k IS NOT NULL").select("id", "n", "bands"), sets_of, percent)
+    groups = near_duplicate_groups(items.where("k IS NOT NULL").select("id", "bands"), sets_of, percent)
     named = items.select("id", "hi", "lo", "k").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("k").alias("component_id"))
     named = named.join(least, "component").select("hi", "lo", "component_id")

@@ -48,31 +48,60 @@ def shingle_set(hashes: np.ndarray, k: int = WORDS) -> np.ndarray:
     return np.zeros(0, _U64)
 
 
-def sketch(elements: np.ndarray, t: int) -> np.ndarray:
-    """The ``t`` coordinates of a non-empty set."""
-    out = np.full(t, np.iinfo(_U64).max, _U64)
-    at = 0
-    while at < 2 * t:
-        rounds = np.arange(at, min(at + max(1, -(-5 * t // len(elements))), t if at < t else 2 * t), dtype=_U64)
-        hashed = mix(elements[None, :] + mix(rounds + _U64(1))[:, None])
-        value = (rounds[:, None] << _U64(32)) | (hashed & _U64(0xFFFFFFFF))
-        if at < t:
-            np.minimum.at(out, ((hashed >> _U64(32)) % _U64(t)).astype(np.intp).ravel(), value.ravel())
-        else:
-            bins = (rounds - _U64(t)).astype(np.intp)
-            out[bins] = np.minimum(out[bins], value.min(axis=1))
-        at += len(rounds)
-        if at <= t and out.max() != np.iinfo(_U64).max:
+def shingle_sets(hashes: np.ndarray, start: np.ndarray, length: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, offsets): :func:`shingle_set` of many stretches of words at once, one after the other.
+
+    Stretch ``i`` has ``length[i]`` words from ``start[i]``; its elements are ``elements[offsets[i] : offsets[i + 1]]``.
+    """
+    count = np.where(length >= k, length - k + 1, (length > 0).astype(np.int64))
+    owner = np.repeat(np.arange(len(start)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start, count)
+    whole = windows(hashes, k)
+    values = whole[np.minimum(place, max(len(whole) - 1, 0))] if len(whole) else np.zeros(len(owner), _U64)
+    for i in np.flatnonzero((length > 0) & (length < k)):
+        values[np.searchsorted(owner, i)] = shingle_set(hashes[start[i] : start[i] + length[i]], k)[0]
+    ends = np.cumsum(count)
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        values[a:b].sort()
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+    return values[new], np.searchsorted(owner[new], np.arange(len(start) + 1))
+
+
+def sketches(elements: np.ndarray, offsets: np.ndarray, t: int) -> np.ndarray:
+    """The ``t`` coordinates of many non-empty sets, a row each."""
+    none = np.iinfo(_U64).max
+    sizes = np.diff(offsets)
+    out = np.full((len(sizes), t), none, _U64)
+    flat, open_ = out.reshape(-1), np.arange(len(sizes))
+    owner, values = np.repeat(open_, sizes), elements
+    for at in range(2 * t):
+        hashed = mix(values + mix(np.array([at + 1], _U64)))
+        value = (_U64(at) << _U64(32)) | (hashed & _U64(0xFFFFFFFF))
+        bins = ((hashed >> _U64(32)) % _U64(t)).astype(np.int64) if at < t else at - t
+        np.minimum.at(flat, owner * t + bins, value)
+        left = (out[open_] == none).any(axis=1)
+        if not left.all():
+            keep = np.zeros(len(sizes), bool)
+            keep[open_[left]] = True
+            open_, stays = open_[left], keep[owner]
+            owner, values = owner[stays], values[stays]
+        if not len(open_):
             break
     return out
 
 
+def sketch(elements: np.ndarray, t: int) -> np.ndarray:
+    """The ``t`` coordinates of a non-empty set."""
+    return sketches(elements, np.array([0, len(elements)]), t)[0]
+
+
 def bands(coordinates: np.ndarray, rows: int) -> np.ndarray:
-    """One hash for each run of ``rows`` coordinates, with the run's number in it."""
-    table = coordinates.reshape(-1, rows)
-    total = mix(np.arange(1, len(table) + 1, dtype=_U64))
+    """One hash for each run of ``rows`` coordinates (along the last axis), with the run's number in it."""
+    table = coordinates.reshape(*coordinates.shape[:-1], -1, rows)
+    total = np.broadcast_to(mix(np.arange(1, table.shape[-2] + 1, dtype=_U64)), table.shape[:-1])
     for j in range(rows):
-        total = mix(total ^ (table[:, j] * _MULTIPLIERS[j]))
+        total = mix(total ^ (table[..., j] * _MULTIPLIERS[j]))
     return total.view(np.int64)
 
 

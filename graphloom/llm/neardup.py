@@ -22,12 +22,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import drop_written, free_shuffles, written
 
 #: Hubs of an element in a round. A round that links fewer than one in FACTOR of the items compared is the last one.
 LEADERS, FACTOR = 1, 16
-#: Ids up to this number (16 bytes each when broadcast) are sent to all executors instead of shuffling texts.
-BROADCAST_IDS = 200_000
+#: Ids up to this number (16 bytes each when broadcast) are sent to all executors instead of shuffling what they name.
+BROADCAST_IDS = 500_000
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -51,6 +51,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = written(small.union(least).distinct(), "edges")
         before, sign = sign, _sign(after)
+        drop_written(now)
         now = after
         if sign == before:
             break
@@ -63,6 +64,12 @@ def with_ids(table: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return table.join(F.broadcast(ids) if few else ids, on)
 
 
+def repeated(rows: DataFrame, column: str) -> DataFrame:
+    """The rows whose value of a column another row has too; counts alone are shuffled where the values are few."""
+    values = written(rows.groupBy(column).agg(F.count("*").alias("m")).where("m > 1").select(column), "repeated")
+    return with_ids(rows, values, column)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with ``100 * intersection >= percent * union``, on the full sets."""
     joined = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -73,12 +80,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _holders(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """(x, id, n, c, pos): the shared elements in the items' prefixes; ``pos`` counts from 0 in the item's order."""
-    named = sets.join(groups.withColumnRenamed("component", "c"), "id", "left").select("id", F.coalesce("c", "id").alias("c"), F.size("set").alias("n"), "set")
-    rows = named.select("id", "c", "n", F.explode("set").alias("x"))
-    shared = rows.groupBy("x").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("x", "df")
+    named = sets.join(groups.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    shared = named.select("c", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("x", "df")
     own = Window.partitionBy("id")
-    placed = rows.join(shared, "x").select("x", "id", "n", "c", F.count("*").over(own).alias("held"), F.row_number().over(own.orderBy("df", "x")).alias("at"))
-    placed = placed.select("x", "id", "n", "c", F.expr("n - held + at - 1").alias("pos"))
+    placed = sets.select("id", F.explode("set").alias("x")).join(shared, "x").select("x", "id", F.count("*").over(own).alias("held"), F.row_number().over(own.orderBy("df", "x")).alias("at"))
+    placed = placed.join(named.select("id", "n", "c"), "id").select("x", "id", "n", "c", F.expr("n - held + at - 1").alias("pos"))
     return placed.where(f"100L * pos <= {100 - percent}L * n")
 
 
@@ -95,24 +101,33 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
 
 
+def colliding(items: DataFrame) -> DataFrame:
+    """(id), written: the items (id, bands: array of long) that share a bucket with another one."""
+    return written(repeated(items.select("id", F.explode("bands").alias("bucket")), "bucket").select("id").distinct(), "met")
+
+
 def near_duplicate_groups(items: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, component) of the items that are linked with others.
 
-    items: (id long, unique; n: set size; bands: array of long), one per different set. sets_of: gives (id, set)
-    for a table of ids.
+    items: (id long, unique; bands: array of long), one per different set. sets_of: gives (id, set) for a table of ids.
     """
-    rows = items.select("id", F.explode("bands").alias("bucket"))
-    full = rows.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    sets = written(sets_of(rows.join(full, "bucket").select("id").distinct()), "sets")
-    groups = sets.sparkSession.createDataFrame([], "id long, component long")
-    live, last = sets, False
+    return groups_of(colliding(items), sets_of, percent)
+
+
+def groups_of(met: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """:func:`near_duplicate_groups` of the items that :func:`colliding` gave."""
+    sets = live = written(sets_of(met).withColumn("n", F.size("set")), "sets")
+    spark = sets.sparkSession
+    free_shuffles(spark)
+    groups = spark.createDataFrame([], "id long, component long")
+    last = False
     while not last:
         holders = written(_holders(live, groups, percent), "holders")
         first = holders.groupBy("x", F.expr(f"pmod(xxhash64(id), {LEADERS}L)")).agg(F.min_by(F.struct("id", "n", "c", "pos"), F.struct(F.expr("pos / n"), "id")).alias("hub"))
         hubs = _named(first.select("x", "hub.*"), "a")
         pairs = _named(holders, "b").join(hubs, "x").where(_likely(percent))
         links = written(verified(_distinct(pairs), sets, percent), "links")
-        still = holders.select("id").distinct()
+        still = written(holders.select("id").distinct(), "still")
         last = FACTOR * links.count() <= still.count()
         if last:
             # the shorter set a has its first common element in the shorter prefix, which two sets of its size need
@@ -121,4 +136,7 @@ def near_duplicate_groups(items: DataFrame, sets_of: Callable[[DataFrame], DataF
             links = links.union(verified(_distinct(pairs), sets, percent))
         groups = written(connected_components(groups.toDF("a", "b").union(links)), "groups")
         live = with_ids(sets, still, "id")
+        drop_written(holders)
+        free_shuffles(spark)
+    drop_written(sets)
     return groups

@@ -1,8 +1,8 @@
 """Substring dedup by paragraph MinHash banding, with exact verification and clustered removal.
 
 Three kinds of paragraph are compared. Lines, and blocks (lines joined up to a blank one, so that hard-wrapped text is
-seen), of ``MIN_WORDS`` words or more are sketched and banded, each kind for itself (24 bands of 4 coordinates: a pair
-at the threshold 0.8 is missed with a probability of 3e-6), colliding ones are verified by the exact Jaccard
+seen), of ``MIN_WORDS`` words or more are sketched and banded, each kind for itself (16 bands of 3 coordinates: a pair
+at the threshold 0.8 is missed with a probability of 1e-5), colliding ones are verified by the exact Jaccard
 similarity of their five-word shingles, and linked ones form components. A line that stays for others' sake stays
 though its block is cut. So that a passage is
 found wherever it stands within lines, runs of ``SPAN`` words at content-chosen places (the least hash of ``CHOICE``
@@ -13,7 +13,8 @@ shared passage is cut whole. Of each component the paragraph with the smallest k
 the others are cut out.
 
 Input contract: null and empty texts have no paragraphs; texts of any length are read whole; ties go to the
-smallest key and place; rows that repeat a key and text are one document and come out alike; rows without a key
+smallest key and place; rows that repeat a key and text are one document and come out alike, while rows of one key with
+different texts are different documents; rows without a key
 are passed through unchanged; an empty table gives an empty table; further columns are ignored by
 ``repeated_paragraphs`` and kept by ``without_repeats``.
 """
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm import sketch as S
-from graphloom.llm.common import arrow_schema, drop_written, map_batches, short_batches, written
-from graphloom.llm.neardup import BROADCAST_IDS, near_duplicate_groups, with_ids
+from graphloom.llm.common import arrow_schema, drop_written, free_shuffles, map_batches, short_batches, written
+from graphloom.llm.neardup import BROADCAST_IDS, colliding, groups_of, repeated, with_ids
 
-PERCENT, BANDS, ROWS = 80, 24, 4
+PERCENT, BANDS, ROWS = 80, 16, 3
 MIN_WORDS, SPAN, CHOICE = 20, 20, 31
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -81,16 +82,24 @@ def staying(lines: list[list[bytes]], gone: set[int]) -> list[tuple[int, int]]:
     return [x for x in [*out, (start, at)] if x[0] < x[1]]
 
 
-def chosen_runs(hashes: np.ndarray, span: int = SPAN, choice: int = CHOICE) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs of ``span`` words that are the least (leftmost) of ``choice`` neighbours."""
-    runs = S.windows(hashes, span)
+def chosen_runs(runs: np.ndarray, choice: int = CHOICE) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the runs of words that are the least (leftmost) of ``choice`` neighbours."""
     if len(runs) < choice:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    near = np.lib.stride_tricks.sliding_window_view(runs, choice)
-    places = np.unique(np.arange(len(near)) + near.argmin(axis=1))
+    key = (runs & ~_PLACES) | np.arange(len(runs), dtype=np.uint64)
+    whole = np.concatenate([key, np.full(-len(key) % choice, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, choice)
+    upto = np.minimum.accumulate(whole, axis=1).ravel()
+    since = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(runs) - choice + 1
+    least = np.minimum(since[:n], upto[choice - 1 : choice - 1 + n])
+    places = np.unique((least & _PLACES).astype(np.int64))
     return places, runs[places]
 
 
+#: Low bits of a run's hash that give way to its place while the least of neighbours is sought.
+_PLACES = np.uint64((1 << 28) - 1)
+
+
 def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFrame:
     """(k, t) to (k, block, part, n, hi, lo, bands) for each line and block with enough words.
 
@@ -105,30 +114,48 @@ def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFr
         seen: set = set()
 
         def each(batch: pa.RecordBatch):
-            out: list[list] = [[] for _ in arrow]
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words: list[bytes] = []
+            units: list[tuple] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 lines = line_words(text)
-                ends = block_ends(lines)
-                for block, part in [*((False, i) for i in range(len(lines))), *((True, i) for i in ends)]:
-                    words = _words_at(lines, ends, block, part)
-                    if len(words) >= min_words:
-                        found = S.shingle_set(S.word_hashes(words))
-                        hi, lo = S.identity(found)
-                        banded = None
-                        if (block, hi, lo) not in seen:
-                            if len(seen) > 20_000:
-                                seen.clear()
-                            seen.add((block, hi, lo))
-                            banded = S.bands(S.sketch(found, n_bands * n_rows), n_rows) ^ np.int64(block)
-                        for column, value in zip(out, (k, block, part, len(found), hi, lo, banded), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
+                at = len(words) + np.concatenate([[0], np.cumsum([len(line) for line in lines])])
+                words += [w for line in lines for w in line]
+                units += [(i, False, j, at[j], at[j + 1] - at[j]) for j, line in enumerate(lines) if len(line) >= min_words]
+                units += [(i, True, j, at[j], at[end] - at[j]) for j, end in block_ends(lines).items() if at[end] - at[j] >= min_words]
+            if not units:
+                return
+            row, block, part, start, length = (np.array(x) for x in zip(*units, strict=True))
+            elements, at = S.shingle_sets(S.word_hashes(words), start, length)
+            names, fresh = [], []
+            for i in range(len(units)):
+                name = S.identity(elements[at[i] : at[i + 1]])
+                names.append(name)
+                if (block[i], name) not in seen:
+                    if len(seen) > 20_000:
+                        seen.clear()
+                    seen.add((block[i], name))
+                    fresh.append(i)
+            known = np.ones(len(units), bool)
+            known[fresh] = False
+            made = np.zeros((0, n_bands), np.int64)
+            if fresh:
+                sizes = np.diff(at)[fresh]
+                kept = np.concatenate([elements[at[i] : at[i + 1]] for i in fresh])
+                made = S.bands(S.sketches(kept, np.concatenate([[0], np.cumsum(sizes)]), n_bands * n_rows), n_rows) ^ block[fresh].astype(np.int64)[:, None]
+            ends = np.concatenate([[0], np.cumsum(np.where(known, 0, n_bands))])
+            banded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(made.ravel()), mask=pa.array(known)).cast(arrow.field(6).type)
+            columns = [block, part.astype("int32"), np.diff(at).astype("int32"), [x[0] for x in names], [x[1] for x in names], banded]
+            keys = batch.column(0).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([keys] + [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, list(arrow)[1:], strict=True)], schema=arrow)
 
         return each
 
     return map_batches(rows, make, schema)
 
 
+_BLOCK = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 def _line_sets(rows: DataFrame) -> DataFrame:
     """(t, wanted: array of (id, block, part, hi, lo)) to (id, set)."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("set", T.ArrayType(T.LongType(), False))])
@@ -144,7 +171,8 @@ def _line_sets(rows: DataFrame) -> DataFrame:
                     found = S.shingle_set(S.word_hashes(_words_at(lines, ends, one["block"], one["part"])))
                     if S.identity(found) == (one["hi"], one["lo"]):
                         ids.append(one["id"])
-                        sets.append(found.view("int64"))
+                        # a block has its own lines' shingles, and is not to be compared with them
+                        sets.append((found ^ _BLOCK if one["block"] else found).view("int64"))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, arrow.field(1).type)], schema=arrow)
 
         return each
@@ -186,22 +214,34 @@ def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch):
             row: list[np.ndarray] = []
-            out: list[list[np.ndarray]] = [[] for _ in kinds]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
+            words: list[bytes] = []
+            kept: list[tuple[int, int, int, int]] = []
             for i, (text, parts, blocks) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 4)), strict=True)):
-                lines = line_words(text)
-                hashes = S.word_hashes([w for line in lines for w in line])
-                sums = _prefixes(hashes)
-                for start, end in staying(lines, cut_lines(lines, parts, blocks)):
-                    at, h = chosen_runs(hashes[start:end], span, choice)
-                    if len(at):
-                        at += start
-                        a, b = np.concatenate([[start], at[:-1]]), np.concatenate([at[1:] + span, [end]])
-                        row.append(np.full(len(at), i))
-                        for column, value in zip(out, (at, h, _fragments(sums, a, at + span), _fragments(sums, at, b), a, b), strict=True):
-                            column.append(value)
+                first = len(words)
+                if parts or blocks:
+                    lines = line_words(text)
+                    words += [w for line in lines for w in line]
+                    kept += [(i, first, first + a, first + b) for a, b in staying(lines, cut_lines(lines, parts, blocks))]
+                else:
+                    words += text.encode().lower().split()
+                    kept.append((i, first, first, len(words)))
+            # the hashes of all texts' runs at once; those over a text's end are in no range
+            sums = _prefixes(S.word_hashes(words))
+            places = np.arange(max(len(words) - span + 1, 0))
+            every = _fragments(sums, places, places + span)
+            for i, first, start, end in kept:
+                at, h = chosen_runs(every[start : max(end - span + 1, start)], choice)
+                if len(at):
+                    at += start
+                    a, b = np.concatenate([[start], at[:-1]]), np.concatenate([at[1:] + span, [end]])
+                    row.append(np.full(len(at), i))
+                    for column, value in zip(out, (at - first, h, a, at, b, a - first, b - first), strict=True):
+                        column.append(value)
             if row:
                 keys = batch.column(0).take(pa.array(np.concatenate(row)))
-                columns = [np.concatenate(x) for x in out]
+                at, h, a, p, b, low, high = (np.concatenate(x) for x in out)
+                columns = (at, h, _fragments(sums, a, p + span), _fragments(sums, p, b), low, high)
                 yield pa.RecordBatch.from_arrays([keys] + [pa.array(x.view(np.int64), f.type) for x, f in zip(columns, list(arrow)[1:], strict=True)], schema=arrow)
 
         return each
@@ -218,25 +258,40 @@ def _contexts(rows: DataFrame, span: int, reach: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            row: list[int] = []
-            out: list[list] = [[] for _ in kinds]
-            for i, (text, parts, blocks, wanted) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 5)), strict=True)):
+            asked = batch.column(4)
+            offsets = asked.offsets.to_numpy()
+            place, h, left, right = (asked.values.field(j).to_numpy(zero_copy_only=False) for j in range(4))
+            row, out = [], [[] for _ in kinds]
+            for i, (text, parts, blocks) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 4)), strict=True)):
                 lines = line_words(text)
                 hashes = S.word_hashes([w for line in lines for w in line])
-                sums, ranges = _prefixes(hashes), staying(lines, cut_lines(lines, parts, blocks))
-                for one in wanted:
-                    p, q = one["place"], one["place"] + span
-                    start, n = next((x for x in ranges if x[0] <= p < x[1]), (0, 0))
-                    if q > n or S.windows(hashes[p:q], span).view(np.int64)[0] != one["h"]:
-                        continue
-                    for side, asked in enumerate((one["l"], one["r"])):
-                        far = np.arange(1, min(reach, n - q if side else p - start) + 1)
-                        if asked and len(far):
-                            c = (_fragments(sums, np.full(len(far), q), q + far) if side else _fragments(sums, p - far, np.full(len(far), p))).view(np.int64)
-                            row.append(i)
-                            for column, value in zip(out, (p, one["h"], side, c[0], c), strict=True):
-                                column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64()))] + [pa.array(x, f.type) for x, f in zip(out, list(arrow)[1:], strict=True)], schema=arrow)
+                sums, ranges = _prefixes(hashes), np.array(staying(lines, cut_lines(lines, parts, blocks)), np.int64).reshape(-1, 2)
+                mine = np.arange(offsets[i], offsets[i + 1])
+                p = place[mine].astype(np.int64)
+                at = np.searchsorted(ranges[:, 0], p, side="right") - 1
+                inside = at >= 0
+                mine, p, at = mine[inside], p[inside], at[inside]
+                fits = p + span <= ranges[at, 1]
+                mine, p, low, high = mine[fits], p[fits], ranges[at[fits], 0], ranges[at[fits], 1]
+                same = _fragments(sums, p, p + span).view(np.int64) == h[mine]
+                mine, p, low, high = mine[same], p[same], low[same], high[same]
+                for side, want in enumerate((left[mine], right[mine])):
+                    edge = p + span if side else p
+                    far = np.where(want.astype(bool), np.minimum(reach, high - edge if side else edge - low), 0)
+                    some = far > 0
+                    if some.any():
+                        n, first = far[some], np.cumsum(far[some]) - far[some]
+                        edges = np.repeat(edge[some], n)
+                        steps = np.arange(len(edges)) - np.repeat(first, n) + 1
+                        c = (_fragments(sums, edges, edges + steps) if side else _fragments(sums, edges - steps, edges)).view(np.int64)
+                        row.append(np.full(len(n), i))
+                        for column, value in zip(out, (p[some], h[mine][some], np.full(len(n), side), c[first], (n, c)), strict=True):
+                            column.append(value)
+            if row:
+                n = np.concatenate([x[0] for x in out[4]])
+                made = [pa.array(np.concatenate(x), f.type) for x, f in zip(out[:4], list(arrow)[1:5], strict=True)]
+                c = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([x[1] for x in out[4]])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), *made, c.cast(arrow.field(5).type)], schema=arrow)
 
         return each
 
@@ -255,22 +310,30 @@ def _extents(contexts: DataFrame, span: int) -> DataFrame:
         def each(batch: pa.RecordBatch):
             nonlocal group
             out: list[list] = [[] for _ in arrow]
-            for k, place, h, side, first, c in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if group != (h, side, first):
-                    group = (h, side, first)
+            offsets, values = batch.column(5).offsets.to_pylist(), batch.column(5).values.to_numpy().tolist()
+            for i, (k, place, *own) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True)):
+                c = values[offsets[i] : offsets[i + 1]]
+                if group != own:
+                    group = own
                     seen.clear()
-                low, high = 0, len(c)
+                # what some place has before, all its shorter stretches have too
+                met, none = 0, len(c)
+                while met < none:
+                    n = (met + none + 1) // 2
+                    met, none = (n, none) if c[n - 1] in seen else (met, n - 1)
+                low, high = 0, met
                 while low < high:
                     n = (low + high + 1) // 2
-                    k0, p0 = seen.get(c[n - 1], (None, 0))
-                    if k0 is not None and (k0 != k or (p0 + span + n <= place if side else p0 + span <= place - n)):
+                    k0, p0 = seen[c[n - 1]]
+                    if k0 != k or (p0 + span + n <= place if own[1] else p0 + span <= place - n):
                         low = n
                     else:
                         high = n - 1
-                for x in c:
-                    seen.setdefault(x, (k, place))
+                here = (k, place)
+                for x in c[met:]:
+                    seen[x] = here
                 if low:
-                    for column, value in zip(out, (k, place, side, low), strict=True):
+                    for column, value in zip(out, (k, place, own[1], low), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
@@ -280,19 +343,15 @@ def _extents(contexts: DataFrame, span: int) -> DataFrame:
     return map_batches(contexts.repartition(*by).sortWithinPartitions(*by, "k", "place"), make, schema)
 
 
-def _drop(*tables: DataFrame) -> None:
-    """Frees the folders of written tables that nothing reads any more."""
-    for table in tables:
-        for path in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
-            drop_written(table.sparkSession, path)
-
-
 def _passages(rows: DataFrame, span: int, choice: int) -> DataFrame:
     """(k, runs: array of (lo, hi)): the words that a chosen run of an earlier place and what agrees around it repeat."""
     runs, me = written(_runs(rows, span, choice), "runs"), F.struct("k", "place")
-    again = runs.groupBy("h").agg(F.count("*").alias("c"), F.min(me).alias("first")).where("c > 1").drop("c")
-    again = written(runs.join(again, "h").withColumn("later", F.col("first") < me).drop("first"), "again")
-    _drop(runs)
+    met = written(repeated(runs, "h"), "met")
+    drop_written(runs)
+    first = met.groupBy("h").agg(F.min(me).alias("first"))
+    again = written(met.join(first, "h").withColumn("later", F.col("first") < me).drop("first"), "again")
+    drop_written(met)
+    free_shuffles(rows.sparkSession)
     at = {x: again.groupBy(x).agg(F.count("*").alias("c"), F.min(me).alias(f"{x}_at")).where("c > 1").drop("c") for x in ("s", "r")}
     marked = again.where("later").join(at["s"], "s", "left").join(at["r"], "r", "left")
     left = (F.col("s_at") < me) & F.expr(f"s_at.k <> k OR s_at.place + {span} <= a")
@@ -331,38 +390,54 @@ def _cuts(text: str, parts: list[dict], blocks: list[dict], runs: list[dict]) ->
 def repeated_paragraphs(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n_bands: int = BANDS, n_rows: int = ROWS, min_words: int = MIN_WORDS, span: int = SPAN, choice: int = CHOICE
 ) -> DataFrame:
-    """(key, parts, blocks, runs): for each document with linked paragraphs its lines and blocks (part: the first line,
-    stays: it is the first of its component), and runs (lo, hi), the words that an earlier place has."""
+    """(key, _text, parts, blocks, runs): for each document with linked paragraphs its lines and blocks (part: the first
+    line, stays: it is the first of its component), and runs (lo, hi), the words that an earlier place has. ``_text`` is
+    the text's hash where some key has several texts, else null."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL")
+    hashed = F.xxhash64("t")
+    clash = not rows.groupBy("k").agg(F.min(hashed).alias("a"), F.max(hashed).alias("b")).where("a <> b").isEmpty()
+    if clash:  # documents are told apart by their texts too, which costs room in every table below
+        rows = rows.withColumn("k", F.struct("k", hashed.alias("d")))
 
-    lines = written(_lines(rows, n_bands, n_rows, min_words), "lines")
+    banded = written(_lines(rows, n_bands, n_rows, min_words), "banded")
     ordered, name = F.struct("k", "part"), ["block", "hi", "lo"]
-    items = lines.groupBy(*name).agg(F.min(ordered).alias("at"), F.max(ordered).alias("to"), F.first("n").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
-    items = written(items.select(F.monotonically_increasing_id().alias("id"), *name, "at", (F.col("at") != F.col("to")).alias("again"), "n", "bands"), "items")
+    found = banded.groupBy(*name).agg(F.min(ordered).alias("at"), F.max(ordered).alias("to"), F.first("bands", ignorenulls=True).alias("bands"))
+    found = written(found.select(F.monotonically_increasing_id().alias("id"), *name, "at", (F.col("at") != F.col("to")).alias("again"), "bands"), "found")
+    # bands are long, and read once
+    lines = written(banded.select("k", "part", *name), "lines")
+    drop_written(banded)
+    met = colliding(found)
+    items = written(found.drop("bands"), "items")
+    drop_written(found)
+    free_shuffles(docs.sparkSession)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = items.join(ids, "id").groupBy(F.col("at.k").alias("k")).agg(F.collect_list(F.struct("id", "block", F.col("at.part").alias("part"), "hi", "lo")).alias("wanted"))
         return _line_sets(with_ids(rows, wanted, "k").select("t", "wanted"))
 
-    groups = near_duplicate_groups(items.select("id", "n", "bands"), sets_of, percent)
+    groups = groups_of(met, sets_of, percent)
     named = items.select("id", *name, "at", "again").join(groups, "id", "left")
     named = named.where("again OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
     first = named.groupBy("component").agg(F.min("at").alias("first"))
     named = named.join(first, "component").select(*name, "first")
-    linked = lines.select("k", "part", *name).join(named, name).select("k", "block", F.struct("part", (F.col("first") == ordered).alias("stays")).alias("one"))
+    linked = lines.join(named, name).select("k", "block", F.struct("part", (F.col("first") == ordered).alias("stays")).alias("one"))
     of = lambda block: F.collect_set(F.when(block, F.col("one")))
     parts = written(linked.groupBy("k").agg(of(~F.col("block")).alias("parts"), of(F.col("block")).alias("blocks")), "parts")
-    _drop(lines, items)
+    drop_written(lines, items)
+    free_shuffles(docs.sparkSession)
     few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     marked = rows.join(F.broadcast(parts) if few else parts, "k", "left").select("k", "t", "parts", "blocks")
-    return parts.join(_passages(marked, span, choice), "k", "full").withColumnRenamed("k", key)
+    found = parts.join(_passages(marked, span, choice), "k", "full")
+    name = [F.col("k.k").alias(key), F.col("k.d").alias("_text")] if clash else [F.col("k").alias(key), F.lit(None).cast("long").alias("_text")]
+    return found.select(*name, "parts", "blocks", "runs")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All rows and columns, with repeated paragraphs cut out of the text; adds ``_spans`` (bytes removed: start, end)."""
     found = repeated_paragraphs(docs, key, text, **options).withColumnRenamed(key, "_k")
-    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, F.col("row")[key] == F.col("_k"), "left")
+    own = (F.col("row")[key] == F.col("_k")) & F.coalesce(F.xxhash64(F.col("row")[text]) == F.col("_text"), F.lit(True))
+    joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, own, "left")
     listed = joined.select("row", F.col("row")[text].alias("_t"), F.col("row")[key].alias("_k"), "parts", "blocks", "runs")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([listed.schema["row"], T.StructField("_t", T.StringType()), T.StructField("_spans", spans)])

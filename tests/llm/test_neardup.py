@@ -205,3 +205,14 @@ def test_lines_of_twenty_words_are_compared(table, small_texts):
                 at[line].add((k, p))
     got = paragraphs.repeated_paragraphs(table(small_texts)).collect()
     assert {x for f in at.values() if len(f) > 1 for x in f} <= {(r.doc_id, p.part) for r in got for p in r.parts or []}
+
+
+def test_rows_of_one_key_with_different_texts(table):
+    """What repeats in one text of a key is cut there alone."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    line, a, b = prose(40), prose(30), prose(35)
+    rows = [(1, prose(50) + "\n" + line), (2, a + "\n" + line), (2, b + "\n" + prose(33)), (2, b + "\n" + prose(9))]
+    got = sorted(r.text.strip() for r in paragraphs.without_repeats(table(rows)).collect() if r.doc_id == 2)
+    assert a in got and sum(b in t for t in got) == 1 and len(got) == 3
+    assert any(t.endswith(rows[2][1].split("\n")[1]) for t in got) and any(t.endswith(rows[3][1].split("\n")[1]) for t in got)

@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     items = written(items.withColumn("id", F.monotonically_increasing_id()), "items")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = items.select("id", "k", "hi", "lo").join(ids, "id")
+        wanted = written(items.select("id", "k", "hi", "lo").join(ids, "id"), "wanted")
         return shingle_sets(with_ids(rows, wanted, "k").select("id", "hi", "lo", "t"))
 
     groups = near_duplicate_groups(items.where("k IS NOT NULL").select("id", "bands"), sets_of, percent)

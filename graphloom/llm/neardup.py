@@ -19,15 +19,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import drop_written, free_shuffles, written
 
 #: Hubs of an element in a round. A round that links fewer than one in FACTOR of the items compared is the last one.
 LEADERS, FACTOR = 1, 16
-#: Ids up to this number (16 bytes each when broadcast) are sent to all executors instead of shuffling what they name.
-BROADCAST_IDS = 500_000
+#: Ids up to this number, with what is beside them up to so many bytes, are sent to all executors instead of shuffling
+#: what they name: the driver holds each such table several times over.
+BROADCAST_IDS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def _sign(edges: DataFrame) -> tuple:
@@ -58,10 +60,43 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.union(now.select("v", "v").distinct()).toDF("id", "component")
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in memory: a word and what it holds; values in an array's structs are a word each."""
+    if isinstance(kind, T.ArrayType):
+        each = 16 + 8 * len(kind.elementType) if isinstance(kind.elementType, T.StructType) else 8
+        return 24 + each * F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)).cast("long")
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(16))
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return 8 + F.coalesce(F.octet_length(value), F.lit(0)).cast("long")
+    return F.lit(8)
+
+
+def _measured(ids: DataFrame) -> tuple[bool, bool]:
+    """Whether a written table may be broadcast, and whether its ids alone may."""
+    row = sum((_bytes(F.col(f.name), f.dataType) for f in ids.schema), F.lit(24))
+    n, size = ids.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return n <= BROADCAST_IDS and size <= BROADCAST_BYTES, n <= BROADCAST_IDS
+
+
 def with_ids(table: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """``table`` joined to the (unique) ids; broadcast only if their counted number is within BROADCAST_IDS."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return table.join(F.broadcast(ids) if few else ids, on)
+    """``table`` joined to the (written, unique) ids; they are broadcast only if their counted number is within
+    BROADCAST_IDS, and with all their columns only if these are within BROADCAST_BYTES."""
+    whole, named = _measured(ids)
+    if whole:
+        return table.join(F.broadcast(ids), on)
+    if named and len(ids.columns) > 1:
+        table = table.join(F.broadcast(ids.select(on)), on, "left_semi")
+    return table.join(ids.hint("merge"), on)
+
+
+def beside(table: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """All of ``table``, with what the (written, unique) ids have beside them, else nulls; broadcast as by with_ids."""
+    whole, named = _measured(ids)
+    if whole or not named:
+        return table.join(F.broadcast(ids) if whole else ids.hint("merge"), on, "left")
+    alone = table.join(F.broadcast(ids.select(on)), on, "left_anti")
+    return with_ids(table, ids, on).unionByName(alone, allowMissingColumns=True)
 
 
 def repeated(rows: DataFrame, column: str) -> DataFrame:

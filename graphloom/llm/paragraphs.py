@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from graphloom.llm import sketch as S
 from graphloom.llm.common import arrow_schema, drop_written, free_shuffles, map_batches, short_batches, written
-from graphloom.llm.neardup import BROADCAST_IDS, colliding, groups_of, repeated, with_ids
+from graphloom.llm.neardup import beside, colliding, groups_of, repeated, with_ids
 
 PERCENT, BANDS, ROWS = 80, 16, 3
 MIN_WORDS, SPAN, CHOICE = 20, 20, 31
@@ -343,9 +343,10 @@ def _extents(contexts: DataFrame, span: int) -> DataFrame:
     return map_batches(contexts.repartition(*by).sortWithinPartitions(*by, "k", "place"), make, schema)
 
 
-def _passages(rows: DataFrame, span: int, choice: int) -> DataFrame:
+def _passages(rows: DataFrame, parts: DataFrame, span: int, choice: int) -> DataFrame:
     """(k, runs: array of (lo, hi)): the words that a chosen run of an earlier place and what agrees around it repeat."""
-    runs, me = written(_runs(rows, span, choice), "runs"), F.struct("k", "place")
+    marked = beside(rows, parts, "k").select("k", "t", "parts", "blocks")
+    runs, me = written(_runs(marked, span, choice), "runs"), F.struct("k", "place")
     met = written(repeated(runs, "h"), "met")
     drop_written(runs)
     first = met.groupBy("h").agg(F.min(me).alias("first"))
@@ -359,7 +360,7 @@ def _passages(rows: DataFrame, span: int, choice: int) -> DataFrame:
     marked = written(marked.select("k", "place", "h", "a", "b", F.coalesce(left, F.lit(False)).alias("l"), F.coalesce(right, F.lit(False)).alias("r")), "marked")
     edges = marked.where("NOT (l AND r)").groupBy("h").agg(F.max(~F.col("l")).alias("l"), F.max(~F.col("r")).alias("r"))
     wanted = again.select("k", "place", "h").join(edges, "h").groupBy("k").agg(F.collect_set(F.struct("place", "h", "l", "r")).alias("wanted"))
-    wanted = written(wanted, "wanted")
+    wanted = written(wanted.join(parts, "k", "left"), "wanted")
     further = _extents(_contexts(with_ids(rows, wanted, "k").select("k", "t", "parts", "blocks", "wanted"), span, choice), span)
     cut = marked.selectExpr("k", "IF(l, a, place) AS lo", f"IF(r, b, place + {span}) AS hi")
     more = further.selectExpr("k", f"IF(side = 0, place - n, place + {span}) AS lo", f"IF(side = 0, place, place + {span} + n) AS hi")
@@ -426,9 +427,7 @@ def repeated_paragraphs(
     parts = written(linked.groupBy("k").agg(of(~F.col("block")).alias("parts"), of(F.col("block")).alias("blocks")), "parts")
     drop_written(lines, items)
     free_shuffles(docs.sparkSession)
-    few = parts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    marked = rows.join(F.broadcast(parts) if few else parts, "k", "left").select("k", "t", "parts", "blocks")
-    found = parts.join(_passages(marked, span, choice), "k", "full")
+    found = parts.join(_passages(rows, parts, span, choice), "k", "full")
     name = [F.col("k.k").alias(key), F.col("k.d").alias("_text")] if clash else [F.col("k").alias(key), F.lit(None).cast("long").alias("_text")]
     return found.select(*name, "parts", "blocks", "runs")
 

@@ -216,3 +216,28 @@ def test_rows_of_one_key_with_different_texts(table):
     got = sorted(r.text.strip() for r in paragraphs.without_repeats(table(rows)).collect() if r.doc_id == 2)
     assert a in got and sum(b in t for t in got) == 1 and len(got) == 3
     assert any(t.endswith(rows[2][1].split("\n")[1]) for t in got) and any(t.endswith(rows[3][1].split("\n")[1]) for t in got)
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    """Few ids with long arrays beside them (here 224 MB) would fill the driver; their ids alone are sent."""
+    ids = spark.range(2000).selectExpr("id AS k", "transform(sequence(1, 2000), x -> struct(x AS place, x AS h, true AS l, true AS r, x AS s)) AS wanted")
+    table = spark.range(5000).withColumnRenamed("id", "k")
+    got = neardup.with_ids(table, ids, "k")
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 2000
+    all_ = neardup.beside(table, ids, "k")
+    assert "LeftSemi" in all_._jdf.queryExecution().optimizedPlan().toString()
+    assert all_.columns == ["k", "wanted"] and all_.count() == 5000 and all_.where("size(wanted) = 2000").count() == 2000
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 10)
+    assert neardup.with_ids(table, ids, "k").count() == 2000 and neardup.beside(table, ids, "k").count() == 5000
+
+
+@pytest.mark.parametrize("few", [0, 500_000])
+def test_paragraphs_without_broadcasts(table, small_texts, monkeypatch, few):
+    """Tables too large to be sent to all executors give the same results, by joins with or without their ids."""
+    rows = small_texts[:120]
+    cut = lambda: sorted((str(r.doc_id), r.text or "", str(r._spans)) for r in paragraphs.without_repeats(table(rows)).collect())
+    want = cut()
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", few)
+    assert cut() == want

@@ -7,7 +7,8 @@ rounds whose work follows the number of elements:
   first, then the shared ones by how many items hold them. Two sets that are alike enough, in different components,
   have a shared element in common among the first ``n - ceil(percent * n / 100) + 1`` of each (the prefix), and at
   the first one they have in common the elements from there on must suffice for the intersection. Items without a
-  shared element in their prefix are settled and go.
+  shared element in their prefix are settled and go. Before elements are counted, items without one go by the same
+  rule in the order of the elements' values.
 - Of the items that hold an element in their prefix, the one that holds it earliest is its hub. Hubs are compared
   with the other holders, on the full sets, and components are formed anew: this settles groups of near copies.
 - A round that has joined few items is the last: its holders in different components are then all compared, as far
@@ -123,6 +124,18 @@ def _holders(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     return placed.where(f"100L * pos <= {100 - percent}L * n")
 
 
+def _open(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(id): the items that can have a link to another component, by the least elements of each set alone.
+
+    The least element that two sets have in common is among the prefixes of both in any order that all sets share, so
+    also in that of the elements' values, which needs no counts. What this settles is not counted element by element.
+    """
+    named = sets.join(groups.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    least = named.select("id", "c", F.explode(F.expr(f"slice(sort_array(set), 1, CAST({100 - percent} * n DIV 100 AS INT) + 1)")).alias("x"))
+    shared = least.groupBy("x").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("x")
+    return least.select("x", "id").join(shared, "x").select("id").distinct()
+
+
 def _likely(percent: int) -> str:
     """Whether sets a and b, whose first common element is at pos_a and pos_b, can be alike enough."""
     return f"c_a <> c_b AND {100 + percent}L * least(n_a - pos_a, n_b - pos_b) >= {percent}L * (n_a + n_b)"
@@ -157,7 +170,8 @@ def groups_of(met: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent
     groups = spark.createDataFrame([], "id long, component long")
     last = False
     while not last:
-        holders = written(_holders(live, groups, percent), "holders")
+        some = written(_open(live, groups, percent), "open")
+        holders = written(_holders(with_ids(live, some, "id"), groups, percent), "holders")
         first = holders.groupBy("x", F.expr(f"pmod(xxhash64(id), {LEADERS}L)")).agg(F.min_by(F.struct("id", "n", "c", "pos"), F.struct(F.expr("pos / n"), "id")).alias("hub"))
         hubs = _named(first.select("x", "hub.*"), "a")
         pairs = _named(holders, "b").join(hubs, "x").where(_likely(percent))

@@ -21,8 +21,6 @@ are passed through unchanged; an empty table gives an empty table; further colum
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +34,8 @@ from graphloom.llm.neardup import beside, colliding, groups_of, repeated, with_i
 PERCENT, BANDS, ROWS = 80, 16, 3
 MIN_WORDS, SPAN, CHOICE = 20, 20, 31
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: By byte: whether it is one of the white-space characters that end words.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def line_words(text: str) -> list[list[bytes]]:
@@ -330,8 +329,7 @@ def _extents(contexts: DataFrame, span: int) -> DataFrame:
                     else:
                         high = n - 1
                 here = (k, place)
-                for x in c[met:]:
-                    seen[x] = here
+                seen.update(dict.fromkeys(c[met:], here))
                 if low:
                     for column, value in zip(out, (k, place, own[1], low), strict=True):
                         column.append(value)
@@ -377,8 +375,9 @@ def _cuts(text: str, parts: list[dict], blocks: list[dict], runs: list[dict]) ->
             starts.append(starts[-1] + len(line) + 1)
         spans += [(starts[i], min(starts[i + 1], len(data))) for i in cut_lines(line_words(text), parts, blocks)]
     if runs:
-        words = [m.span() for m in _WORD.finditer(data)]
-        spans += [(words[one["lo"]][0], words[one["hi"] - 1][1]) for one in runs if one["hi"] <= len(words)]
+        edges = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)], prepend=True, append=True))
+        starts, ends = edges[::2], edges[1::2]
+        spans += [(int(starts[one["lo"]]), int(ends[one["hi"] - 1])) for one in runs if one["hi"] <= len(starts)]
     merged: list[tuple[int, int]] = []
     for start, end in sorted(spans):
         if merged and start <= merged[-1][1] + 1 and data[merged[-1][1] : start].isspace() or merged and start <= merged[-1][1]:
@@ -437,14 +436,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     found = repeated_paragraphs(docs, key, text, **options).withColumnRenamed(key, "_k")
     own = (F.col("row")[key] == F.col("_k")) & F.coalesce(F.xxhash64(F.col("row")[text]) == F.col("_text"), F.lit(True))
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(found, own, "left")
-    listed = joined.select("row", F.col("row")[text].alias("_t"), F.col("row")[key].alias("_k"), "parts", "blocks", "runs")
+    # the text goes to Python and back once, the other columns beside it
+    others = F.struct(*[F.col("row")[c].alias(c) for c in docs.columns if c != text])
+    listed = joined.select(others.alias("row"), F.col("row")[text].alias("_t"), "parts", "blocks", "runs")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([listed.schema["row"], T.StructField("_t", T.StringType()), T.StructField("_spans", spans)])
     arrow = arrow_schema(schema)
 
     def make():
         def each(batch: pa.RecordBatch):
-            texts, parts, blocks, runs = (batch.column(i).to_pylist() for i in (1, 3, 4, 5))
+            texts, parts, blocks, runs = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
             out, cut = [], []
             for t, p, b, r in zip(texts, parts, blocks, runs, strict=True):
                 found = _cuts(t, p or [], b or [], r or []) if t and (p or b or r) else []

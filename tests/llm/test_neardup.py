@@ -241,3 +241,20 @@ def test_paragraphs_without_broadcasts(table, small_texts, monkeypatch, few):
     monkeypatch.setattr(neardup, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(neardup, "BROADCAST_IDS", few)
     assert cut() == want
+
+
+def test_items_without_a_link_are_settled_by_their_least_elements(spark):
+    """What shares its larger elements alone is settled before elements are counted; no linked item is."""
+    rng = random.Random(4)
+    common = list(range(10**6, 10**6 + 60))
+    sets = {i: rng.sample(range(10**6), 40) + common for i in range(30)}
+    for i in range(30, 60):
+        base = sets[i] = rng.sample(range(2 * 10**6), rng.randrange(5, 90))
+        sets[i + 100] = [*base[: len(base) - len(base) // 9], 3 * 10**6 + i]
+    alike = {i for i in sets for j in sets if i != j and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    full = spark.createDataFrame([(i, x, len(x)) for i, x in sets.items()], "id long, set array<long>, n int")
+    none = spark.createDataFrame([], "id long, component long")
+    got = {r.id for r in neardup._open(full, none, 80).collect()}
+    assert alike and alike <= got and not got & set(range(30))
+    one = spark.createDataFrame([(i, 30) for i in sets], "id long, component long")
+    assert neardup._open(full, one, 80).isEmpty()

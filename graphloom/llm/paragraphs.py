@@ -21,8 +21,11 @@ are passed through unchanged; an empty table gives an empty table; further colum
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,65 +37,78 @@ from graphloom.llm.neardup import beside, colliding, groups_of, repeated, with_i
 PERCENT, BANDS, ROWS = 80, 16, 3
 MIN_WORDS, SPAN, CHOICE = 20, 20, 31
 
-#: By byte: whether it is one of the white-space characters that end words.
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-
-
-def line_words(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode().lower().split(b"\n")]
 
-
-def block_ends(lines: list[list[bytes]]) -> dict[int, int]:
-    """The first line of each block, and the line after its last one."""
+def block_ends(sizes: list[int]) -> dict[int, int]:
+    """The first line of each block, and the line after its last one; ``sizes`` are the lines' numbers of words."""
     out, start = {}, None
-    for i, words in enumerate([*lines, []]):
-        if words and start is None:
+    for i, size in enumerate([*sizes, 0]):
+        if size and start is None:
             start = i
-        elif not words and start is not None:
+        elif not size and start is not None:
             out[start], start = i, None
     return out
 
 
-def _words_at(lines: list[list[bytes]], ends: dict[int, int], block: bool, part: int) -> list[bytes]:
-    if not block:
-        return lines[part] if part < len(lines) else []
-    return [w for line in lines[part : ends.get(part, part)] for w in line]
-
-
-def cut_lines(lines: list[list[bytes]], parts: list[dict] | None, blocks: list[dict] | None) -> set[int]:
+def cut_lines(sizes: list[int], parts: list[dict] | None, blocks: list[dict] | None) -> set[int]:
     """Lines that go: linked ones and those of linked blocks, but for lines that stay for others' sake."""
-    out, ends = set(), block_ends(lines) if blocks else {}
+    out, ends = set(), block_ends(sizes) if blocks else {}
     for one in blocks or []:
         if not one["stays"]:
             out.update(range(one["part"], ends.get(one["part"], one["part"])))
     out.difference_update(one["part"] for one in parts or [] if one["stays"])
-    out.update(one["part"] for one in parts or [] if not one["stays"] and one["part"] < len(lines))
+    out.update(one["part"] for one in parts or [] if not one["stays"] and one["part"] < len(sizes))
     return out
 
 
-def staying(lines: list[list[bytes]], gone: set[int]) -> list[tuple[int, int]]:
+def staying(sizes: list[int], gone: set[int]) -> list[tuple[int, int]]:
     """Ranges of words between the lines that go."""
     out, start, at = [], 0, 0
-    for i, words in enumerate(lines):
+    for i, size in enumerate(sizes):
         if i in gone:
             out.append((start, at))
-            start = at + len(words)
-        at += len(words)
+            start = at + size
+        at += size
     return [x for x in [*out, (start, at)] if x[0] < x[1]]
 
 
-def chosen_runs(runs: np.ndarray, choice: int = CHOICE) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the runs of words that are the least (leftmost) of ``choice`` neighbours."""
-    if len(runs) < choice:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _gone(words: S.Words, parts: pa.Array, blocks: pa.Array) -> dict[int, set[int]]:
+    """The lines that go, of each text that has linked lines or blocks."""
+    both = enumerate(zip(parts.to_pylist(), blocks.to_pylist(), strict=True))
+    return {i: cut_lines(words.sizes(i), p, b) for i, (p, b) in both if p or b}
+
+
+def _ranges(words: S.Words, parts: pa.Array, blocks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the ranges of words, of all texts' words, that stay."""
+    gone = _gone(words, parts, blocks)
+    out = []
+    for i, (first, end) in enumerate(itertools.pairwise(words.text_words.tolist())):
+        if i in gone:
+            out += [(first + a, first + b) for a, b in staying(words.sizes(i), gone[i])]
+        elif first < end:
+            out.append((first, end))
+    both = np.array(out, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+def chosen_runs(runs: np.ndarray, start: np.ndarray, end: np.ndarray, choice: int = CHOICE) -> np.ndarray:
+    """Places of the runs of words that are the least (leftmost) of ``choice`` neighbours within one of the ranges of runs,
+    which are in order and apart."""
+    count = np.maximum(end - start - choice + 1, 0)
+    start, count = start[count > 0], count[count > 0]
+    if not len(start):
+        return np.zeros(0, np.int64)
     key = (runs & ~_PLACES) | np.arange(len(runs), dtype=np.uint64)
     whole = np.concatenate([key, np.full(-len(key) % choice, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, choice)
     upto = np.minimum.accumulate(whole, axis=1).ravel()
     since = np.minimum.accumulate(whole[:, ::-1], axis=1)[:, ::-1].ravel()
     n = len(runs) - choice + 1
-    least = np.minimum(since[:n], upto[choice - 1 : choice - 1 + n])
-    places = np.unique((least & _PLACES).astype(np.int64))
-    return places, runs[places]
+    inside = np.zeros(n + 1, np.int8)
+    inside[start] += 1
+    inside[start + count] -= 1
+    at = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+    places = (np.minimum(since[at], upto[at + choice - 1]) & _PLACES).astype(np.int64)
+    # neighbours' least runs follow each other in the order of places
+    return places[np.diff(places, prepend=-1) > 0]
 
 
 #: Low bits of a run's hash that give way to its place while the least of neighbours is sought.
@@ -113,20 +129,20 @@ def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFr
         seen: set = set()
 
         def each(batch: pa.RecordBatch):
-            words: list[bytes] = []
-            units: list[tuple] = []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                lines = line_words(text)
-                at = len(words) + np.concatenate([[0], np.cumsum([len(line) for line in lines])])
-                words += [w for line in lines for w in line]
-                units += [(i, False, j, at[j], at[j + 1] - at[j]) for j, line in enumerate(lines) if len(line) >= min_words]
-                units += [(i, True, j, at[j], at[end] - at[j]) for j, end in block_ends(lines).items() if at[end] - at[j] >= min_words]
-            if not units:
+            words = S.words_in(batch.column(1))
+            lines = np.flatnonzero(np.diff(words.line_words) >= min_words)
+            first, after = S.stretches(np.diff(words.line_words) > 0, words.text_lines)
+            wide = words.line_words[after] - words.line_words[first] >= min_words
+            part, end = np.concatenate([lines, first[wide]]), np.concatenate([lines + 1, after[wide]])
+            if not len(part):
                 return
-            row, block, part, start, length = (np.array(x) for x in zip(*units, strict=True))
-            elements, at = S.shingle_sets(S.word_hashes(words), start, length)
+            block = np.arange(len(part)) >= len(lines)
+            row = np.searchsorted(words.text_lines, part, "right") - 1
+            start = words.line_words[part]
+            elements, at = S.shingle_sets(S.hashes_of(words), start, words.line_words[end] - start)
+            part = part - words.text_lines[row]
             names, fresh = [], []
-            for i in range(len(units)):
+            for i in range(len(part)):
                 name = S.identity(elements[at[i] : at[i + 1]])
                 names.append(name)
                 if (block[i], name) not in seen:
@@ -134,7 +150,7 @@ def _lines(rows: DataFrame, n_bands: int, n_rows: int, min_words: int) -> DataFr
                         seen.clear()
                     seen.add((block[i], name))
                     fresh.append(i)
-            known = np.ones(len(units), bool)
+            known = np.ones(len(part), bool)
             known[fresh] = False
             made = np.zeros((0, n_bands), np.int64)
             if fresh:
@@ -163,11 +179,15 @@ def _line_sets(rows: DataFrame) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch):
             ids, sets = [], []
-            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = line_words(text)
-                ends = block_ends(lines)
+            words = S.words_in(batch.column(0))
+            hashes = S.hashes_of(words)
+            for i, wanted in enumerate(batch.column(1).to_pylist()):
+                sizes, line = words.sizes(i), words.text_lines[i]
+                ends = block_ends(sizes)
                 for one in wanted:
-                    found = S.shingle_set(S.word_hashes(_words_at(lines, ends, one["block"], one["part"])))
+                    part = one["part"]
+                    end = ends.get(part, part) if one["block"] else min(part + 1, len(sizes))
+                    found = S.shingle_set(hashes[words.line_words[line + min(part, end)] : words.line_words[line + end]])
                     if S.identity(found) == (one["hi"], one["lo"]):
                         ids.append(one["id"])
                         # a block has its own lines' shingles, and is not to be compared with them
@@ -212,35 +232,21 @@ def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            row: list[np.ndarray] = []
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            words: list[bytes] = []
-            kept: list[tuple[int, int, int, int]] = []
-            for i, (text, parts, blocks) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 4)), strict=True)):
-                first = len(words)
-                if parts or blocks:
-                    lines = line_words(text)
-                    words += [w for line in lines for w in line]
-                    kept += [(i, first, first + a, first + b) for a, b in staying(lines, cut_lines(lines, parts, blocks))]
-                else:
-                    words += text.encode().lower().split()
-                    kept.append((i, first, first, len(words)))
-            # the hashes of all texts' runs at once; those over a text's end are in no range
-            sums = _prefixes(S.word_hashes(words))
-            places = np.arange(max(len(words) - span + 1, 0))
+            words = S.words_in(batch.column(1))
+            start, end = _ranges(words, batch.column(2), batch.column(3))
+            sums = _prefixes(S.hashes_of(words))
+            places = np.arange(max(len(words.start) - span + 1, 0))
             every = _fragments(sums, places, places + span)
-            for i, first, start, end in kept:
-                at, h = chosen_runs(every[start : max(end - span + 1, start)], choice)
-                if len(at):
-                    at += start
-                    a, b = np.concatenate([[start], at[:-1]]), np.concatenate([at[1:] + span, [end]])
-                    row.append(np.full(len(at), i))
-                    for column, value in zip(out, (at - first, h, a, at, b, a - first, b - first), strict=True):
-                        column.append(value)
-            if row:
-                keys = batch.column(0).take(pa.array(np.concatenate(row)))
-                at, h, a, p, b, low, high = (np.concatenate(x) for x in out)
-                columns = (at, h, _fragments(sums, a, p + span), _fragments(sums, p, b), low, high)
+            at = chosen_runs(every, start, end - span + 1, choice)
+            if len(at):
+                row = np.searchsorted(words.text_words, at, "right") - 1
+                of = np.searchsorted(start, at, "right") - 1
+                a, b, same = start[of], end[of], of[1:] == of[:-1]
+                a[1:] = np.where(same, at[:-1], a[1:])
+                b[:-1] = np.where(same, at[1:] + span, b[:-1])
+                first = words.text_words[row]
+                columns = (at - first, every[at], _fragments(sums, a, at + span), _fragments(sums, at, b), a - first, b - first)
+                keys = batch.column(0).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([keys] + [pa.array(x.view(np.int64), f.type) for x, f in zip(columns, list(arrow)[1:], strict=True)], schema=arrow)
 
         return each
@@ -248,6 +254,10 @@ def _runs(rows: DataFrame, span: int, choice: int) -> DataFrame:
     return map_batches(rows, make, schema)
 
 
+#: Runs whose contexts are made at once.
+_AT_ONCE = 1 << 13
+
+
 def _contexts(rows: DataFrame, span: int, reach: int) -> DataFrame:
     """(k, t, parts, blocks, wanted: array of (place, h, l, r)) to (k, place, h, side, next, c): hashes ``c`` of the 1, 2, ... ``reach`` words
     before (side 0) or after (side 1) the run, within what stays; ``next`` is the first of them."""
@@ -257,40 +267,33 @@ def _contexts(rows: DataFrame, span: int, reach: int) -> DataFrame:
 
     def make():
         def each(batch: pa.RecordBatch):
-            asked = batch.column(4)
-            offsets = asked.offsets.to_numpy()
-            place, h, left, right = (asked.values.field(j).to_numpy(zero_copy_only=False) for j in range(4))
-            row, out = [], [[] for _ in kinds]
-            for i, (text, parts, blocks) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 4)), strict=True)):
-                lines = line_words(text)
-                hashes = S.word_hashes([w for line in lines for w in line])
-                sums, ranges = _prefixes(hashes), np.array(staying(lines, cut_lines(lines, parts, blocks)), np.int64).reshape(-1, 2)
-                mine = np.arange(offsets[i], offsets[i + 1])
-                p = place[mine].astype(np.int64)
-                at = np.searchsorted(ranges[:, 0], p, side="right") - 1
-                inside = at >= 0
-                mine, p, at = mine[inside], p[inside], at[inside]
-                fits = p + span <= ranges[at, 1]
-                mine, p, low, high = mine[fits], p[fits], ranges[at[fits], 0], ranges[at[fits], 1]
-                same = _fragments(sums, p, p + span).view(np.int64) == h[mine]
-                mine, p, low, high = mine[same], p[same], low[same], high[same]
-                for side, want in enumerate((left[mine], right[mine])):
+            words = S.words_in(batch.column(1))
+            starts, ends = _ranges(words, batch.column(2), batch.column(3))
+            sums = _prefixes(S.hashes_of(words))
+            asked, rows = batch.column(4).flatten(), pc.list_parent_indices(batch.column(4)).to_numpy()
+            fields = [asked.field(j).to_numpy(zero_copy_only=False) for j in range(4)]
+            for part in range(0, len(rows) if len(starts) else 0, _AT_ONCE):
+                row, (place, h, left, right) = rows[part : part + _AT_ONCE], [x[part : part + _AT_ONCE] for x in fields]
+                p = words.text_words[row] + place
+                at = np.searchsorted(starts, p, side="right") - 1
+                low, high = starts[at], ends[at]
+                fits = (at >= 0) & (p + span <= high) & (words.text_words[row] <= low) & (high <= words.text_words[row + 1])
+                fits[fits] = _fragments(sums, p[fits], p[fits] + span).view(np.int64) == h[fits]
+                row, place, h, p, low, high = (x[fits] for x in (row, place, h, p, low, high))
+                for side, want in enumerate((left[fits], right[fits])):
                     edge = p + span if side else p
-                    far = np.where(want.astype(bool), np.minimum(reach, high - edge if side else edge - low), 0)
-                    some = far > 0
+                    n = np.where(want.astype(bool), np.minimum(reach, high - edge if side else edge - low), 0)
+                    some = n > 0
                     if some.any():
-                        n, first = far[some], np.cumsum(far[some]) - far[some]
+                        n = n[some]
+                        first = np.cumsum(n) - n
                         edges = np.repeat(edge[some], n)
                         steps = np.arange(len(edges)) - np.repeat(first, n) + 1
                         c = (_fragments(sums, edges, edges + steps) if side else _fragments(sums, edges - steps, edges)).view(np.int64)
-                        row.append(np.full(len(n), i))
-                        for column, value in zip(out, (p[some], h[mine][some], np.full(len(n), side), c[first], (n, c)), strict=True):
-                            column.append(value)
-            if row:
-                n = np.concatenate([x[0] for x in out[4]])
-                made = [pa.array(np.concatenate(x), f.type) for x, f in zip(out[:4], list(arrow)[1:5], strict=True)]
-                c = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([x[1] for x in out[4]])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(row))), *made, c.cast(arrow.field(5).type)], schema=arrow)
+                        listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(c)), pa.int32()), pa.array(c)).cast(arrow.field(5).type)
+                        columns = (place[some], h[some], np.full(len(n), side), c[first])
+                        made = [pa.array(x, f.type) for x, f in zip(columns, list(arrow)[1:5], strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), *made, listed], schema=arrow)
 
         return each
 
@@ -365,26 +368,36 @@ def _passages(rows: DataFrame, parts: DataFrame, span: int, choice: int) -> Data
     return cut.union(more).groupBy("k").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
 
 
-def _cuts(text: str, parts: list[dict], blocks: list[dict], runs: list[dict]) -> list[tuple[int, int]]:
-    """Byte ranges to remove, merged: lines and blocks of which another stays, and words that an earlier place has."""
-    data = text.encode()
-    spans: list[tuple[int, int]] = []
-    if parts or blocks:
-        starts = [0]
-        for line in data.split(b"\n"):
-            starts.append(starts[-1] + len(line) + 1)
-        spans += [(starts[i], min(starts[i + 1], len(data))) for i in cut_lines(line_words(text), parts, blocks)]
-    if runs:
-        edges = np.flatnonzero(np.diff(_SPACE[np.frombuffer(data, np.uint8)], prepend=True, append=True))
-        starts, ends = edges[::2], edges[1::2]
-        spans += [(int(starts[one["lo"]]), int(ends[one["hi"] - 1])) for one in runs if one["hi"] <= len(starts)]
-    merged: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if merged and start <= merged[-1][1] + 1 and data[merged[-1][1] : start].isspace() or merged and start <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
-        else:
-            merged.append((start, end))
-    return merged
+def _cuts(words: S.Words, parts: pa.Array, blocks: pa.Array, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end): byte ranges, of all texts' bytes, to remove, merged: lines and blocks of which another stays,
+    and words that an earlier place has."""
+    lines = np.array([words.text_lines[i] + line for i, gone in _gone(words, parts, blocks).items() for line in gone], np.int64)
+    row, flat = pc.list_parent_indices(runs).to_numpy(), runs.flatten()
+    lo, hi = (words.text_words[row] + flat.field(j).to_numpy() for j in range(2))
+    fits = hi <= words.text_words[row + 1]
+    start = np.concatenate([words.lines[lines], words.start[lo[fits]]])
+    end = np.concatenate([words.lines[lines + 1], words.end[hi[fits] - 1]])
+    order = np.argsort(start)
+    start, far = start[order], np.maximum.accumulate(end[order])
+    text = np.searchsorted(words.texts, start, "right") - 1
+    # what is parted by one white-space character is one range
+    met, then = far[:-1], start[1:]
+    new = np.ones(len(start), bool)
+    new[1:] = (text[1:] != text[:-1]) | (then > met + 1) | (then == met + 1) & ~S.SPACE[words.data[np.minimum(met, len(words.data) - 1)]]
+    first = np.flatnonzero(new)
+    return text[first], start[first], far[np.append(first[1:], len(start)) - 1] if len(first) else far
+
+
+def _without(column: pa.Array, words: S.Words, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts without the byte ranges."""
+    marks = np.zeros(len(words.data) + 1, np.int8)
+    marks[start] += 1
+    marks[end] -= 1
+    stays = np.cumsum(marks[:-1], dtype=np.int8) == 0
+    gone = np.concatenate([[0], np.cumsum(end - start)])
+    offsets = words.texts - gone[np.searchsorted(start, words.texts)]
+    kept = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(words.data[stays]))
+    return pc.if_else(column.is_valid(), kept.cast(pa.string()), None) if column.null_count else kept.cast(pa.string())
 
 
 def repeated_paragraphs(
@@ -445,19 +458,13 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **
 
     def make():
         def each(batch: pa.RecordBatch):
-            texts, parts, blocks, runs = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-            out, cut = [], []
-            for t, p, b, r in zip(texts, parts, blocks, runs, strict=True):
-                found = _cuts(t, p or [], b or [], r or []) if t and (p or b or r) else []
-                if found:
-                    data, kept, at = t.encode(), [], 0
-                    for start, end in found:
-                        kept.append(data[at:start])
-                        at = end
-                    t = b"".join([*kept, data[at:]]).decode()
-                out.append(t)
-                cut.append([{"start": a, "end": b} for a, b in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), pa.array(out, pa.string()), pa.array(cut, arrow.field(2).type)], schema=arrow)
+            column = batch.column(1)
+            words = S.words_in(column)
+            text, start, end = _cuts(words, *batch.columns[2:5])
+            ends = pa.array(np.searchsorted(text, np.arange(len(column) + 1)), pa.int32())
+            cut = pa.StructArray.from_arrays([pa.array(x - words.texts[text]) for x in (start, end)], ["start", "end"])
+            cut = pa.ListArray.from_arrays(ends, cut).cast(arrow.field(2).type)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(arrow.field(0).type), _without(column, words, start, end).cast(arrow.field(1).type), cut], schema=arrow)
 
         return each
 

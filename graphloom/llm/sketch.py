@@ -8,7 +8,10 @@ equal coordinates is concentrated about the Jaccard similarity as for fully inde
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORDS = 5
@@ -29,6 +32,75 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), _U64, len(words))
 
 
+#: By byte: whether it is one of the white-space characters that end words.
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+class Words(NamedTuple):
+    """Where the words and lines of a column of texts stand; offsets have the end of the last one behind them."""
+
+    data: np.ndarray  #: the bytes of all texts
+    texts: np.ndarray  #: the first byte of each text
+    lines: np.ndarray  #: the first byte of each line; a text has a line more than line feeds
+    start: np.ndarray  #: the first byte of each word
+    end: np.ndarray  #: the byte after each word
+    text_lines: np.ndarray  #: the first line of each text
+    text_words: np.ndarray  #: the first word of each text
+    line_words: np.ndarray  #: the first word of each line
+
+    def sizes(self, text: int) -> list[int]:
+        """The number of words of each line of a text."""
+        return np.diff(self.line_words[self.text_lines[text] : self.text_lines[text + 1] + 1]).tolist()
+
+
+def stretches(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest stretches of true places; new ones start at each place of ``at``."""
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    begins, ends = at[at < len(inside)], at[at > 0] - 1
+    first[begins], last[ends] = inside[begins], inside[ends]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words_in(column: pa.Array) -> Words:
+    """The words, parted by white space, of all texts of a column at once; null is empty."""
+    column = column.fill_null("").cast(pa.large_string())
+    n = len(column)
+    texts = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[texts[0] : texts[-1]]
+    texts = texts - texts[0]
+    start, end = stretches(~SPACE[data], texts)
+    feeds = np.flatnonzero(data == 0x0A)
+    text_lines = np.searchsorted(feeds, texts) + np.arange(n + 1)
+    lines = np.empty(len(feeds) + n + 1, np.int64)
+    lines[text_lines] = texts
+    lines[np.arange(len(feeds)) + np.searchsorted(texts, feeds, "right")] = feeds + 1
+    return Words(data, texts, lines, start, end, text_lines, np.searchsorted(start, texts), np.searchsorted(start, lines))
+
+
+#: By number of bytes: those of a word of 8 bytes that are the first ones.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U64)
+#: Words with more bytes are hashed one by one.
+_LONG = 64
+
+
+def hashes_of(words: Words) -> np.ndarray:
+    """64-bit hashes of all words in lower case (A-Z), eight bytes of each at a time; not those of :func:`word_hashes`."""
+    data = np.zeros(len(words.data) + 8, np.uint8)
+    data[:-8] = words.data | (((words.data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    length = words.end - words.start
+    total = mix((eight[words.start] & _FIRST[np.minimum(length, 8)]) + length.astype(_U64) * _MULTIPLIERS[0])
+    at = np.arange(len(length))
+    for done in range(8, _LONG, 8):
+        at = at[length[at] > done]
+        total[at] = mix(total[at] ^ (eight[words.start[at] + done] & _FIRST[np.minimum(length[at] - done, 8)]))
+    for i in at[length[at] > _LONG]:
+        total[i] = xxhash.xxh64_intdigest(data[words.start[i] : words.end[i]])
+    return total
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` words."""
     n = len(hashes) - k + 1

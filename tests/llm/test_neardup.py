@@ -1,7 +1,9 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import minhash, neardup, paragraphs
@@ -258,3 +260,57 @@ def test_items_without_a_link_are_settled_by_their_least_elements(spark):
     assert alike and alike <= got and not got & set(range(30))
     one = spark.createDataFrame([(i, 30) for i in sets], "id long, component long")
     assert neardup._open(full, one, 80).isEmpty()
+
+
+def test_words_of_a_column_by_brute_force(odd_texts):
+    """Words, lines and hashes of all texts at once are those of each text, also where texts meet without a space."""
+    texts = [t for _, t in odd_texts] + ["end", "Start\n", "\n\nx", "a" * 8, "A" * 9, "b" * 64, "B" * 65, "b" * 64 + "c", "a\x00", "a", ""]
+    words = S.words_in(pa.array(texts, pa.string()).slice(0))
+    hashes = S.hashes_of(words)
+    data, got, by_hash = words.data.tobytes(), [], {}
+    for i, t in enumerate(texts):
+        lines = [line.split() for line in (t or "").encode().split(b"\n")]
+        own = range(words.text_words[i], words.text_words[i + 1])
+        assert [data[words.start[j] : words.end[j]] for j in own] == [w for line in lines for w in line]
+        assert words.sizes(i) == [len(line) for line in lines]
+        at = words.lines[words.text_lines[i] : words.text_lines[i + 1] + 1]
+        assert b"".join(data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)) == (t or "").encode() and at[-1] == words.texts[i + 1]
+        got += own
+        for j in own:
+            word = data[words.start[j] : words.end[j]].lower()
+            assert by_hash.setdefault(hashes[j], word) == word
+    assert len(got) == len(hashes) and len(by_hash) == len(set(by_hash.values()))
+    part = S.words_in(pa.array(texts, pa.string()).slice(3, 12))
+    first, end = words.text_words[3], words.text_words[15]
+    assert (S.hashes_of(part) == hashes[first:end]).all() and not len(S.words_in(pa.array([], pa.string())).start)
+
+
+def test_words_of_a_column_cost_less_than_one_by_one(small_texts):
+    """op8 reads all words in several steps: word by word they took most of its Python CPU seconds."""
+    column = pa.array([t for _, t in small_texts] * 5, pa.string())
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            f()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    one_by_one = seconds(lambda: [S.word_hashes(t.encode().lower().split()) for t in column.to_pylist() if t])
+    assert seconds(lambda: S.hashes_of(S.words_in(column))) < one_by_one / 2
+
+
+def test_cuts_of_a_batch():
+    """Merged byte ranges of each text alone: neighbouring texts' ranges stay apart, null texts stay null."""
+    texts = ["a b c d\ne f", None, "", "x y", "z", "p  q r"]
+    column = pa.array(texts, pa.string())
+    linked = pa.list_(pa.struct([("part", pa.int32()), ("stays", pa.bool_())]))
+    parts = pa.array([[{"part": 1, "stays": False}], None, None, None, None, None], linked)
+    blocks = pa.array([None, None, None, [{"part": 0, "stays": False}], None, None], linked)
+    runs = pa.array([[{"lo": 2, "hi": 4}, {"lo": 0, "hi": 1}, {"lo": 3, "hi": 9}], None, None, None, [{"lo": 0, "hi": 1}], [{"lo": 1, "hi": 2}, {"lo": 0, "hi": 1}]], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
+    words = S.words_in(column)
+    text, start, end = paragraphs._cuts(words, parts, blocks, runs)
+    got = [(int(i), int(a - words.texts[i]), int(b - words.texts[i])) for i, a, b in zip(text, start, end, strict=True)]
+    assert got == [(0, 0, 1), (0, 4, 11), (3, 0, 3), (4, 0, 1), (5, 0, 1), (5, 3, 4)]
+    assert paragraphs._without(column, words, start, end).to_pylist() == [" b ", None, "", "", "", "   r"]

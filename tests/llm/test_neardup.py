@@ -1,5 +1,4 @@
 import random
-import time
 from collections import defaultdict
 
 import numpy as np
@@ -285,20 +284,16 @@ def test_words_of_a_column_by_brute_force(odd_texts):
     assert (S.hashes_of(part) == hashes[first:end]).all() and not len(S.words_in(pa.array([], pa.string())).start)
 
 
-def test_words_of_a_column_cost_less_than_one_by_one(small_texts):
+def test_no_word_is_hashed_alone(spark, small_texts, monkeypatch):
     """op8 reads all words in several steps: word by word they took most of its Python CPU seconds."""
-    column = pa.array([t for _, t in small_texts] * 5, pa.string())
-
-    def seconds(f):
-        took = []
-        for _ in range(3):
-            began = time.thread_time()
-            f()
-            took.append(time.thread_time() - began)
-        return min(took)
-
-    one_by_one = seconds(lambda: [S.word_hashes(t.encode().lower().split()) for t in column.to_pylist() if t])
-    assert seconds(lambda: S.hashes_of(S.words_in(column))) < one_by_one / 2
+    monkeypatch.setattr(paragraphs, "map_batches", lambda rows, make, schema: make())
+    monkeypatch.delattr(S, "word_hashes")
+    rows = spark.createDataFrame([], "k long, t string")
+    keys, texts = (pa.array(x) for x in zip(*small_texts, strict=True))
+    none = pa.nulls(len(keys), pa.list_(pa.struct([("part", pa.int32()), ("stays", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([keys, texts, none, none], ["k", "t", "parts", "blocks"])
+    for each in (paragraphs._lines(rows, 16, 3, 20), paragraphs._runs(rows, 20, 31)):
+        assert sum(out.num_rows for out in each(batch)) > len(keys)
 
 
 def test_cuts_of_a_batch():

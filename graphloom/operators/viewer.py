@@ -26,14 +26,19 @@ def gridded(points: DataFrame, cell: float) -> DataFrame:
 
 
 def pick(points: DataFrame, clicks: DataFrame, radius: float) -> DataFrame:
-    """(click, rowid, d2): the nearest point within ``radius`` of each click (click, x, y); an equi-join on grid cells."""
+    """(click, rowid, d2): the nearest point within ``radius`` of each click (click, x, y); an equi-join on grid cells.
+
+    Of points at one place only the first can be picked, and clicks at one place pick the same: places are joined.
+    """
     cell = max(radius, 1e-9)
-    own = gridded(points, cell).select("rowid", F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy")
-    near = gridded(clicks, cell).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select("click", "x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
+    places = points.groupBy("x", "y").agg(F.min("rowid").alias("rowid"))
+    own = gridded(places, cell).select("rowid", F.col("x").alias("px"), F.col("y").alias("py"), "cx", "cy")
+    near = gridded(clicks.select("x", "y").distinct(), cell).withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
+    near = near.select("x", "y", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
     d2 = F.pow(F.col("x") - F.col("px"), 2) + F.pow(F.col("y") - F.col("py"), 2)
     met = near.join(own, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius)
-    return met.groupBy("click").agg(F.min(F.struct("d2", "rowid")).alias("m")).select("click", "m.rowid", "m.d2")
+    best = met.groupBy("x", "y").agg(F.min(F.struct("d2", "rowid")).alias("m"))
+    return clicks.join(best, ["x", "y"]).groupBy("click").agg(F.min("m").alias("m")).select("click", "m.rowid", "m.d2")
 
 
 def in_rect(points: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

@@ -15,6 +15,8 @@ from graphloom.functions import text as X
 
 K1, B = 1.2, 0.75
 FIELDS = ("name", "text", "file_path")
+#: Characters whose tokens a task counts.
+TASK_CHARS = 2_000_000
 
 
 def documents(nodes: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -29,9 +31,16 @@ def documents(nodes: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(field, term, doc_id, tf, dl): name and text by code tokens, paths by runs of letters and digits."""
+    """(field, term, doc_id, tf, dl): name and text by code tokens, paths by runs of letters and digits.
+
+    Documents are dealt by their id, about ``TASK_CHARS`` to a task, before they are cut into tokens: tokens outweigh
+    them, and small files can hold many. A document's tokens are then counted where they are.
+    """
     tokens = {"name": X.code_tokens(F.col("name")), "text": X.code_tokens(F.col("text")), "file_path": X.path_tokens(F.col("file_path"))}
-    listed = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(t, F.array().cast("array<string>")).alias("terms")) for f, t in tokens.items()])).alias("f"))
+    fields = docs.select("doc_id", *tokens)
+    chars = fields.select(sum((F.coalesce(F.length(f), F.lit(0)) for f in tokens), F.lit(50)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    dealt = fields.repartition(chars // TASK_CHARS + 1, "doc_id")
+    listed = dealt.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(t, F.array().cast("array<string>")).alias("terms")) for f, t in tokens.items()])).alias("f"))
     rows = listed.select("doc_id", "f.field", F.size("f.terms").alias("dl"), F.explode("f.terms").alias("term"))
     return rows.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 

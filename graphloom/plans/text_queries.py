@@ -82,7 +82,8 @@ SELECT id AS node_id, round(score * 1.2 * CASE WHEN file_path LIKE '%.json' THEN
 CASE WHEN file_path LIKE '%.json' THEN 5 ELSE 1 END AS bucket FROM scored JOIN nd ON doc_id = id""")
 def search_rerank(spark, sf_dir):
     docs = _node_docs(spark, sf_dir, "'Method', 'Function'")
-    found = search.bm25(search.postings(docs), ["customer", "000000007"], docs.count()).join(docs, "doc_id")
+    posted = stored(spark, "postings-callables", sf_dir, lambda: search.postings(docs))
+    found = search.bm25(posted, ["customer", "000000007"], docs.count()).join(docs, "doc_id")
     asked = "customer 000000007"
     return found.select("node_id", F.round(search.reranked(asked), 6).alias("score"), search.bucket(asked).alias("bucket"))
 

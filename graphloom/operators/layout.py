@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from graphloom.functions import names as N
 from graphloom.functions import text as X
 from graphloom.operators import store, traverse
+from graphloom.session import written
+
+#: Row numbers of a block are told apart by so many bits; so many mixed blocks (64 KB each) are broadcast at most, and
+#: so many in all.
+BLOCK_BITS, MIXED_BLOCKS, BLOCKS = 15, 512, 100_000
 
 
 def membership(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(rowid, cluster label, origin, pinned): the lowest community, else flows together, else the top folder, else the root."""
     communities = nodes.where("label = 'Community'").select(F.col("rowid").alias("own"), F.coalesce("name", "id").alias("own_label"))
-    first = store.first_community(nodes, edges, nodes)
+    first = store.first_community(None, edges, nodes)
     joined = (
         nodes.select("rowid", "label", "file_path")
         .join(first, F.col("rowid") == F.col("anchor"), "left").drop("anchor")
@@ -40,14 +45,27 @@ def clusters(members: DataFrame) -> DataFrame:
     return made.withColumn("reach", F.sqrt(area)).select("cluster", "cluster_label", "origin", "members", "radius", (F.col("reach") * F.cos(angle)).alias("cx"), (F.col("reach") * F.sin(angle)).alias("cy"))
 
 
-def positions(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(positions, clusters): members spiral about their cluster's centre, the community first, then by falling degree."""
-    members = membership(nodes, edges)
-    found = clusters(members)
-    degrees = store.degree(edges)
-    placed = members.join(degrees, "rowid", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).join(F.broadcast(found) if found.limit(10_001).count() <= 10_000 else found, ["cluster_label", "origin"])
-    k = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("pinned"), F.desc("degree"), "rowid")) - 1
-    placed = placed.withColumn("k", k)
+def assigned(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((rowid, cluster, pinned), clusters): each node's cluster, which depends on memberships and folders alone."""
+    members = written(membership(nodes, edges), "members")
+    found = written(clusters(members), "clusters")
+    few = found.select("cluster_label", "origin", "cluster")
+    return members.join(F.broadcast(few) if found.limit(10_001).count() <= 10_000 else few, ["cluster_label", "origin"]).select("rowid", "cluster", "pinned"), found
+
+
+def positions(nodes: DataFrame, edges: DataFrame, given: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(positions, clusters): members spiral about their cluster's centre, the community first, then by falling degree.
+
+    A cluster can hold most nodes, so places in it are numbered by ranges of all clusters' order. ``given``: what
+    :func:`assigned` gives, if it is stored.
+    """
+    members, found = given or assigned(nodes, edges)
+    ranked = written(members.join(store.degree(edges), "rowid", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), "ranked")  # sampled, then dealt
+    order = F.struct("cluster", (~F.col("pinned")).alias("p"), (-F.col("degree")).alias("d"), "rowid")
+    numbered = store.numbered(ranked.select("cluster", "rowid", "degree", order.alias("order")), "order", name="n").drop("order")
+    first = numbered.groupBy("cluster").agg(F.min("n").alias("first"))
+    starts = written(found.select("cluster", "cx", "cy").join(first, "cluster"), "starts")
+    placed = numbered.join(F.broadcast(starts) if starts.limit(10_001).count() <= 10_000 else starts, "cluster").withColumn("k", (F.col("n") - F.col("first")).cast("int"))
     r, angle = N.SPACING * F.sqrt("k"), F.col("k") * N.GOLDEN_ANGLE
     out = placed.select("rowid", "cluster", "k", (F.col("cx") + r * F.cos(angle)).alias("x"), (F.col("cy") + r * F.sin(angle)).alias("y"), F.log1p("degree").alias("size"), "degree")
     return out, found
@@ -78,25 +96,59 @@ def lod(placed: DataFrame, edges: DataFrame, nodes: int) -> tuple[DataFrame, Dat
     return numbered, traverse.induced(numbered.select("i", "rowid"), edges)
 
 
-def _ends(edges: DataFrame, placed: DataFrame) -> DataFrame:
-    cluster = placed.select("rowid", "cluster")
-    return edges.select("src", "dst").join(cluster.toDF("src", "a"), "src").join(cluster.toDF("dst", "b"), "dst").select("a", "b")
+def _blocks(placed: DataFrame) -> DataFrame | None:
+    """(block, one, each): by blocks of row numbers, the cluster of all, or the cluster of each by place, -1 for no node.
+
+    None if row numbers repeat, or are too far apart or too mixed for a broadcast.
+    """
+    block = F.shiftright("rowid", BLOCK_BITS).alias("block")
+    small = F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.count("*").alias("c")
+    stats = placed.groupBy(block).agg(*small)
+    mixed = (F.col("low") < F.col("high")) | (F.col("c") != 1 << BLOCK_BITS)
+    sums = stats.agg(F.count("*").alias("blocks"), F.count_if(mixed).alias("mixed"), F.max("high").alias("high"), F.sum("c").alias("c")).first()
+    if not sums["blocks"] or sums["blocks"] > BLOCKS or sums["mixed"] > MIXED_BLOCKS or sums["high"] >= 1 << 15:
+        return None
+    stats = written(stats.select("block", "low", mixed.alias("mixed")), "blocks")
+    own = placed.select(block, F.col("rowid").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("at"), "cluster")
+    # what is alike is looked at too: in a full block of one cluster row numbers can repeat, and others be missing
+    seen = own.groupBy("block").agg(F.count_distinct("at").alias("d"), F.count("*").alias("c"))
+    if not seen.where("d <> c").isEmpty():
+        return None
+    several = F.broadcast(stats.where("mixed").select("block"))
+    none = several.select("block", F.explode(F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1))).alias("at"), F.lit(-1).alias("cluster"))
+    filled = own.join(several, "block").union(none).groupBy("block", "at").agg(F.max("cluster").cast("short").alias("cluster"))
+    each = filled.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cluster"))), lambda x: x["cluster"]).alias("each"))
+    return written(stats.join(each, "block", "left").select("block", F.when(~F.col("mixed"), F.col("low").cast("short")).alias("one"), "each"), "blocks")
 
 
-def cluster_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
+def _ends(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b, n): the number of edges from cluster to cluster; edges without both ends don't count."""
+    blocks, ends = _blocks(placed), edges.select("src", "dst")
+    if blocks is None:
+        cluster = placed.select("rowid", "cluster")
+        ends = ends.join(cluster.toDF("src", "a"), "src").join(cluster.toDF("dst", "b"), "dst")
+    else:
+        for end, name in (("src", "a"), ("dst", "b")):
+            there = F.coalesce("one", F.get("each", F.col(end).bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")))
+            ends = ends.join(F.broadcast(blocks), F.shiftright(end, BLOCK_BITS) == F.col("block")).withColumn(name, there.cast("int")).drop("block", "one", "each").where(F.col(name) >= 0)
+    return ends.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def cluster_edges(edges: DataFrame, placed: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(s, t, weight) between clusters, either way together."""
-    return _ends(edges, placed).where("a <> b").groupBy(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t")).agg(F.count("*").alias("weight"))
+    ends = _ends(edges, placed) if ends is None else ends
+    return ends.where("a <> b").groupBy(F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t")).agg(F.sum("n").alias("weight"))
 
 
 def incident_weight(weights: DataFrame) -> DataFrame:
     return weights.select(F.explode(F.array("s", "t")).alias("cluster"), "weight").groupBy("cluster").agg(F.sum("weight").alias("incident"))
 
 
-def edge_stats(edges: DataFrame, placed: DataFrame) -> DataFrame:
+def edge_stats(edges: DataFrame, placed: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(cluster, internal, external): an edge between clusters counts at both."""
-    ends = _ends(edges, placed)
-    inner = ends.where("a = b").select(F.col("a").alias("cluster"), F.lit(1).alias("i"), F.lit(0).alias("e"))
-    outer = ends.where("a <> b").select(F.explode(F.array("a", "b")).alias("cluster"), F.lit(0).alias("i"), F.lit(1).alias("e"))
+    ends = _ends(edges, placed) if ends is None else ends
+    inner = ends.where("a = b").select(F.col("a").alias("cluster"), F.col("n").alias("i"), F.lit(0).cast("long").alias("e"))
+    outer = ends.where("a <> b").select(F.explode(F.array("a", "b")).alias("cluster"), F.lit(0).cast("long").alias("i"), F.col("n").alias("e"))
     return inner.union(outer).groupBy("cluster").agg(F.sum("i").alias("internal"), F.sum("e").alias("external"))
 
 
@@ -188,8 +240,9 @@ def overview(nodes: DataFrame, edges: DataFrame, layout: tuple[DataFrame, DataFr
     ``layout``: positions and clusters as :func:`positions` gives them, if they are stored.
     """
     placed, found = layout or positions(nodes, edges)
-    files, symbols = top_files(nodes, placed), top_symbols(nodes, placed)
-    incident = incident_weight(cluster_edges(edges, placed))
+    files, symbols = written(top_files(nodes, placed), "files"), written(top_symbols(nodes, placed), "symbols")
+    ends = written(_ends(edges, placed), "ends")
+    incident = incident_weight(cluster_edges(edges, placed, ends))
     rows = found.join(incident, "cluster", "left").fillna(0, ["incident"])
     size = 1 + 1.35 * F.log1p("members") + 0.35 * F.log1p("incident")
-    return rows.withColumn("size", size).join(display_labels(found, files, symbols), "cluster").join(quality(found, edge_stats(edges, placed), files), "cluster")
+    return rows.withColumn("size", size).join(display_labels(found, files, symbols), "cluster").join(quality(found, edge_stats(edges, placed, ends), files), "cluster")

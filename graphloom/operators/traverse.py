@@ -35,9 +35,10 @@ def _walk(seeds: DataFrame, edges: DataFrame, depth: int, types: Sequence[str] |
     hops = hops.select(F.col(near).alias("at"), F.col(far).alias("rowid"), order.alias("edge"))
     seen = frontier = written(seeds.distinct().select("start", "rowid", F.lit(0).alias("depth"), F.col("rowid").alias("place")), "level")
     for level in range(1, depth + 1):
-        met = frontier.select("start", F.col("rowid").alias("at"), "place").join(hops, "at").join(seen.select("start", "rowid"), ["start", "rowid"], "left_anti")
-        fresh = met.groupBy("start", "rowid").agg(F.min(F.struct("place", "edge")).alias("by"))
-        place = F.col("by.place")
+        met = frontier.select("start", F.col("rowid").alias("at"), "place").join(hops, "at").groupBy("start", "rowid")
+        # met nodes are put together before they are shuffled against the seen ones; without a limit the edge isn't asked for
+        fresh = met.agg((F.min("place") if limit is None else F.min(F.struct("place", "edge"))).alias("by")).join(seen.select("start", "rowid"), ["start", "rowid"], "left_anti")
+        place = F.col("by")
         if limit is not None:
             # a limit on row numbers is also applied before the shuffle, so no task sorts a whole level
             fresh = fresh.withColumn("n", F.row_number().over(Window.partitionBy("start").orderBy("by", "rowid"))).where(F.col("n") <= limit)
@@ -87,37 +88,44 @@ def depth_histogram(found: DataFrame) -> DataFrame:
     return found.groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
-def ego(center: int, edges: DataFrame, degrees: DataFrame, depth: int = N.EGO_DEPTH[0], budget: int = N.EGO_NODES) -> tuple[DataFrame, DataFrame]:
+def ego(center: int, edges: DataFrame, degrees: DataFrame | None = None, depth: int = N.EGO_DEPTH[0], budget: int = N.EGO_NODES) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) about a node: rings of undirected neighbours, each cut by falling degree to what the budget leaves.
 
-    nodes: (i, rowid, ring, k, x, y, size); edges: different (s, t) places, self-loops dropped.
+    nodes: (i, rowid, ring, k, x, y, size); edges: different (s, t) places, self-loops dropped. Without ``degrees`` those
+    of the met nodes alone are counted.
     """
     spark = edges.sparkSession
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("at", "rowid")
-    seen = spark.createDataFrame([(center, 0, 0)], "rowid long, ring int, k int")
-    frontier, left = seen, budget - 1
+    known = (lambda few: few.join(degrees, "rowid")) if degrees is not None else (lambda few: store.degree_of(few, edges))
+    own = known(spark.createDataFrame([(center,)], "rowid long")).select("degree").first()
+    seen = written(spark.createDataFrame([(center, 0, 0, own["degree"] if own else 0)], "rowid long, ring int, k int, degree long"), "ring")
+    frontier, sizes = seen, [1]
     for ring in range(1, depth + 1):
+        left = budget - sum(sizes)
         if left <= 0:
             break
-        met = frontier.select(F.col("rowid").alias("at")).join(both, "at").select("rowid").distinct().join(seen.select("rowid"), "rowid", "left_anti")
-        ranked = met.join(degrees, "rowid", "left").select("rowid", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "rowid").alias("order"))
+        near = frontier.select(F.col("rowid").alias("at"))
+        met = written(both.join(F.broadcast(near) if sizes[-1] <= store.FEW else near, "at").select("rowid").distinct().join(seen.select("rowid"), "rowid", "left_anti"), "met")
+        ranked = met.join(known(met), "rowid", "left").select("rowid", F.coalesce("degree", F.lit(0)).alias("degree"))
+        ranked = ranked.withColumn("order", F.struct((-F.col("degree")).alias("d"), "rowid"))
         if left <= N.RENDER_BUDGET[2]:
             k = F.row_number().over(Window.orderBy("order"))
             ranked = ranked.orderBy("order").limit(left).withColumn("k", k)
         else:
             ranked = store.numbered(ranked, "order", name="k").where(F.col("k") <= left)
-        frontier = written(ranked.select("rowid", F.lit(ring).alias("ring"), (F.col("k") - 1).cast("int").alias("k")), "ring")
+        frontier = written(ranked.select("rowid", F.lit(ring).alias("ring"), (F.col("k") - 1).cast("int").alias("k"), "degree"), "ring")
         size = frontier.count()
         if not size:
             break
-        seen, left = seen.union(frontier), left - size
+        seen = seen.union(frontier)
+        sizes.append(size)
     seen = written(seen, "ego")
-    count = F.count("*").over(Window.partitionBy("ring"))
-    angle = F.col("k") * 2 * F.pi() / count + F.col("ring") * N.GOLDEN_ANGLE
-    placed = seen.join(degrees, "rowid", "left").select(
-        (F.row_number().over(Window.orderBy("ring", "k")) - 1).alias("i"), "rowid", "ring", "k",
+    of_ring = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("ring") + 1)
+    angle = F.col("k") * 2 * F.pi() / of_ring(sizes) + F.col("ring") * N.GOLDEN_ANGLE
+    placed = seen.select(
+        (of_ring([sum(sizes[:r]) for r in range(len(sizes))]) + F.col("k")).alias("i"), "rowid", "ring", "k",
         (F.col("ring") * N.RING * F.cos(angle)).alias("x"), (F.col("ring") * N.RING * F.sin(angle)).alias("y"),
-        F.log1p(F.coalesce("degree", F.lit(0))).alias("size"),
+        F.log1p("degree").alias("size"),
     )
     return placed, induced(placed.select("i", "rowid"), edges)
 

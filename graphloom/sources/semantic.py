@@ -43,10 +43,11 @@ def lowered(files: DataFrame, symbols: DataFrame, occurrences: DataFrame, relati
     """(nodes, edges): a node per file and symbol, whose range falls back to its first definition; an edge per relation.
 
     files (path, language, digest), symbols (symbol, display_name, kind, file_path, start_line, end_line), occurrences
-    (symbol, role, file_path, start_line, end_line, ordinal), relations (source, target, kind).
+    (symbol, role, file_path, start_line, end_line, ordinal), relations (source, target, kind). Of first definitions with
+    one ordinal the least by path and lines counts, the same on every run.
     """
     own = files.select(F.concat(F.lit("file:"), "path").alias("id"), F.lit("File").alias("label"), F.to_json(F.struct(F.col("path").alias("name"), "path", F.col("path").alias("filePath"), "language", "digest")).alias("properties"))
-    first = occurrences.where("role IN ('Definition', 'ForwardDefinition', 'Declaration')").groupBy("symbol").agg(F.min_by(F.struct("file_path", "start_line", "end_line"), "ordinal").alias("at"))
+    first = occurrences.where("role IN ('Definition', 'ForwardDefinition', 'Declaration')").groupBy("symbol").agg(F.min(F.struct("ordinal", "file_path", "start_line", "end_line")).alias("at"))
     named = symbols.join(first, "symbol", "left")
     props = F.to_json(F.struct(F.coalesce("display_name", "symbol").alias("name"), F.col("symbol").alias("qualifiedName"), F.coalesce("file_path", "at.file_path").alias("filePath"), F.coalesce("start_line", "at.start_line").alias("startLine"), F.coalesce("end_line", "at.end_line").alias("endLine")))
     nodes = own.unionByName(named.select(F.col("symbol").alias("id"), F.coalesce("kind", F.lit("Symbol")).alias("label"), props.alias("properties")))

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import incremental, layout, search
+from graphloom.session import written
 from graphloom.sources.facts import Facts
 
 #: Postings lie in this many folders by term, so a query reads those of its terms.
 BUCKETS = 64
+#: Postings of one bucket in a task; ids of documents that are sent to the postings; postings that a short document has.
+BUCKET_ROWS, FEW, SHORT = 1_000_000, 1_000_000, 16
 
 
 def _path(spark: SparkSession, path: str):
@@ -98,20 +101,27 @@ def build(spark: SparkSession, root: str, nodes: DataFrame, edges: DataFrame, ch
     return _put(spark, root, index.version)
 
 
-def _write_postings(index: Index, posted: DataFrame) -> None:
-    """Postings by bucket, and a row per field with its mean length and the number of documents."""
+def _write_postings(index: Index, posted: DataFrame, sizes: DataFrame | None = None) -> None:
+    """Postings by bucket, and a row per field with its mean length and the number of documents.
+
+    A bucket is dealt by document to as many tasks as its share of the postings asks for. ``sizes``: stored postings whose
+    buckets are about as large.
+    """
     where = f"{index.root}/{index.version}"
-    dealt = posted.withColumn("bucket", F.crc32(F.col("term").cast("binary")) % BUCKETS)
-    dealt.repartition(BUCKETS, "bucket").write.partitionBy("bucket").parquet(f"{where}/postings")
-    docs = index.table("documents").count()
-    stats = search.field_stats(index.table("postings").drop("bucket")).withColumn("docs", F.lit(docs).cast("long"))
+    if sizes is None:
+        sizes = posted = written(posted.withColumn("bucket", F.crc32(F.col("term").cast("binary")) % BUCKETS), "postings")
+    shares = {r["bucket"]: r["count"] // BUCKET_ROWS + 1 for r in sizes.groupBy("bucket").count().collect()}
+    share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("bucket")), F.lit(1)) if shares else F.lit(1)
+    posted.repartition(max(BUCKETS, sum(shares.values())), "bucket", F.pmod(F.xxhash64("doc_id"), share)).write.partitionBy("bucket").parquet(f"{where}/postings")
+    docs, table = index.table("documents").count(), index.table("postings").drop("bucket")
+    stats = search.field_stats(table, table.count() < SHORT * docs).withColumn("docs", F.lit(docs).cast("long"))
     none = index.spark.createDataFrame([(None, None, docs)], "field string, avgdl double, docs long")
     stats.unionByName(none).coalesce(1).write.parquet(f"{where}/stats")
 
 
 def without_paths(index: Index, paths: DataFrame) -> tuple[Index, int]:
     """The index without the documents at exactly these paths (path), and their number; 0 leaves it as it is."""
-    gone = index.table("documents").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("doc_id")
+    gone = written(index.table("documents").join(paths.select(F.col("path").alias("file_path")), "file_path", "left_semi").select("doc_id"), "gone")
     count = gone.count()
     if not count:
         return index, 0
@@ -119,8 +129,10 @@ def without_paths(index: Index, paths: DataFrame) -> tuple[Index, int]:
     for name in ("nodes", "edges", "positions", "clusters", "vectors"):
         if index.has(name):
             index.table(name).write.parquet(f"{after.root}/{after.version}/{name}")
-    index.table("documents").join(gone, "doc_id", "left_anti").write.parquet(f"{after.root}/{after.version}/documents")
-    _write_postings(after, index.table("postings").drop("bucket").join(gone, "doc_id", "left_anti"))
+    few = count <= FEW
+    index.table("documents").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").write.parquet(f"{after.root}/{after.version}/documents")
+    posted = index.table("postings")
+    _write_postings(after, posted.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(posted.columns), posted)
     return _put(index.spark, index.root, after.version), count
 
 

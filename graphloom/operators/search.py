@@ -45,9 +45,10 @@ def postings(docs: DataFrame) -> DataFrame:
     return rows.groupBy("field", "term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def field_stats(posted: DataFrame) -> DataFrame:
-    """(field, avgdl): mean length over the documents that have the field."""
-    return posted.groupBy("field").agg((F.sum("tf") / F.count_distinct("doc_id")).alias("avgdl"))
+def field_stats(posted: DataFrame, short: bool = False) -> DataFrame:
+    """(field, avgdl): mean length over the documents that have the field; short ones are dealt before they are counted."""
+    rows = posted.select("field", "doc_id", "tf")
+    return (rows.repartition("doc_id") if short else rows).groupBy("field").agg((F.sum("tf") / F.count_distinct("doc_id")).alias("avgdl"))
 
 
 def bm25(posted: DataFrame, terms: list[str], docs_count: int, boosts: dict[str, float] | None = None, stats: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import session
-from graphloom.operators import index, layout, search, store, traverse, viewer
+from graphloom.operators import answers, index, layout, search, store, traverse, viewer
 from graphloom.plans.catalogue import QUERIES
 from graphloom.sources import semantic, tables
 
@@ -150,3 +150,10 @@ def test_a_frequent_term_is_dealt_to_several_files(spark, tmp_path, monkeypatch)
     after, gone = index.without_paths(made, spark.createDataFrame([("f0.rs",)], "path string"))
     assert gone == 134 and after.postings(["same"]).count() == sum(1 for i in range(400) if i % 2 and i % 3)
     assert made.table("postings").columns == after.table("postings").columns
+
+
+def test_few_anchors_are_sent_to_the_edges(spark, no_small_tables):
+    edges = spark.createDataFrame([(1, 2, "CALLS"), (3, 2, "CALLS"), (2, 1, "CALLS"), (4, 2, "IN")], "src long, dst long, type string")
+    found = answers.node_degrees(spark.createDataFrame([(2,)], "rowid long"), edges)
+    assert _plan(found).count("BroadcastHashJoin") == 2
+    assert found.select("callers", "callees", "references").collect() == [(2, 1, 3)]
